@@ -170,20 +170,24 @@ def _encoder(spec) -> Bpe:
     return _MADE[digest]
 
 
-def encode_documents(docs: DataFrame, path: str, out: str = "ids") -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>, decoded string) for every document."""
+def encode_documents(docs: DataFrame, path: str, *keep: str, rows: int = 500) -> DataFrame:
+    """(doc_id, *keep, n_tokens, ids array<int>, decoded_sha256); made ``rows`` rows at a time."""
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(read_spec(path))
+    plain = texts(docs, *keep)
 
     def run(batches):
         bpe = _encoder(spec)
         for pdf in batches:
-            made = [bpe.coded(t) for t in pdf["text"]]
-            ids = [np.array(m[0].split(), dtype=np.int32) for m in made]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(i) for i in ids], out: ids, "decoded": [m[1] for m in made]})
-
-    return texts(docs).mapInPandas(run, f"doc_id long, n_tokens long, {out} array<int>, decoded string")
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at : at + rows]
+                made = [bpe.coded(t) for t in part["text"]]
+                ids = [np.array(m[0].split(), dtype=np.int32) for m in made]
+                yield part[["doc_id", *keep]].assign(n_tokens=[len(i) for i in ids], ids=ids, decoded_sha256=[hashlib.sha256(m[1].encode()).hexdigest() for m in made])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.select("doc_id", *keep).schema)
+    return plain.mapInPandas(run, f"{kept}, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from freshet.llm.common import components, cut, ship, texts
 
 RADIUS, BLOCKS, CHUNK, SHINGLE, SEED = 4, 6, 4096, 4, 42
+#: Ids that may be broadcast (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _M64 = (1 << 64) - 1
 
 
@@ -205,5 +207,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of repeated rows with one doc_id all stay only if identical ids are distinct rows by
     design; documents without doc_id are kept.
     """
-    found = simhash_components(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    gone = cut(simhash_components(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
