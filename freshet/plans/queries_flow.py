@@ -116,7 +116,7 @@ pointwise("f14_infiltration", ["rate = 0.0001 * (n % 5)"] + flow.infiltration("r
 pointwise("f15_target_depth", ["ht = if(n % 3 = 0, 0.05 * (1 + n % 4), NULL)"] + flow.depth_limit("ht"), ["h1", "hu1", "hv1"])
 pointwise("f16_stage_clamp", ["hm = if(i % 4 = 0, 0.1 + 0.05 * (j % 5), NULL)"] + flow.depth_limit("hm"), ["h1", "hu1", "hv1"])
 pointwise("f17_depth_cap", flow.depth_cap("0.4"), ["h1", "hu1", "hv1"])
-pointwise("b15_sponge", flow.sponge(12, 64, 64, "0.8"), ["h1", "hu1", "hv1"], digits=12)
+pointwise("b15_sponge", flow.sponge(12, 64, 64, "0.8"), ["h1", "hu1", "hv1"], digits=15)
 pointwise("d13_initial_condition", ["h0 = if(b > -0.5 AND b < 0.5, 0.0, if((i - 32) * (i - 32) + (j - 32) * (j - 32) > 676, 0.0, greatest(0.9 - b, 0.0)))"], ["h0"])
 pointwise("d14_two_level_start", ["h0 = greatest(if(b < 0.5, 0.75, 1.25) - b, 0.0)"], ["h0"])
 pointwise("d12_manning_sanitise", ["raw = if(n % 4 = 0, 0.0, if(n % 4 = 1, 0.0005, 0.01 * (n % 9)))", "nm = if(raw <= 0.001, 0.035, raw)"], ["nm"])
