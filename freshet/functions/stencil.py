@@ -93,7 +93,7 @@ def face_srm(axis: str, p: str, dx: str, h_min: str) -> tuple[list[str], tuple,
     out = _cells(axis, p, h_min) + bed_gradient(axis, dx, f"{p}g") + [
         f"{p}n_g = {_at(f'{p}g', 1, axis)}",
         f"{p}zl = b + 0.5 * {dx} * {p}g", f"{p}zr = {p}n_b - 0.5 * {dx} * {p}n_g",
-        f"{p}zf = greatest({p}zl, {p}zr)", f"{p}zc = {p}zr - {p}zl", f"{p}dz = ({p}n_b - b) - {p}zc",
+        f"{p}zf = greatest(b, {p}n_b)", f"{p}zc = {p}zr - {p}zl", f"{p}dz = ({p}n_b - b) - {p}zc",
         f"{p}dl = greatest(0.0, least({p}dz, {p}n_e - {p}e))", f"{p}dr = greatest(0.0, least(0.0 - {p}dz, {p}e - {p}n_e))",
         f"{p}hl = greatest(0.0, {p}e + {p}dl - {p}zf)", f"{p}hr = greatest(0.0, {p}n_e + {p}dr - {p}zf)",
         *[f"{p}{s}{c} = {p}h{s} * {p}{'n_' if s == 'r' else ''}{c}" for s in "lr" for c in "uv"],
