@@ -61,6 +61,27 @@ class Program:
         return f"SELECT * FROM {out} AS p"
 
 
+class Chain:
+    """Programs one after the other on a state: each renames its results to the state's names.
+
+    A stage is (lines, {column: result}); columns that it doesn't name keep their values.
+    """
+
+    def __init__(self, columns: list[str], *stages: tuple[list[str], dict[str, str]]):
+        self.columns, self.stages = columns, [(Program(lines), names) for lines, names in stages]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for program, names in self.stages:
+            df = program.apply(df).select(*[F.col(names.get(c, c)).alias(c) for c in self.columns])
+        return df
+
+    def sql(self, source: str) -> str:
+        for n, (program, names) in enumerate(self.stages):
+            picked = ", ".join(f"{names.get(c, c)} AS {c}" for c in self.columns)
+            source = f"SELECT {picked} FROM ({program.sql(source)}) AS c{n}"
+        return source
+
+
 def rounded(*names: str, digits: int = 9) -> list[str]:
     """Expressions that round doubles alike in both engines, without a negative zero."""
     return [f"round({n}, {digits}) + CAST('0.0' AS DOUBLE) AS {n}" for n in names]

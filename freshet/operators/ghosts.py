@@ -24,16 +24,21 @@ def ghost_map(n: int, ngh: int, low: str, high: str) -> list[tuple[int, int, flo
 def fill(df: DataFrame, nx: int, ny: int, ngh: int, west="extrapolate", east="extrapolate", south="extrapolate", north="extrapolate", state=("h", "hu", "hv")) -> DataFrame:
     """Rows of df plus ghosts along i, then along j over the full extent.
 
-    A wall flips the momentum across it; fall empties the ghost but keeps its bed. The
-    maps have 2 * ngh rows whatever the grid, so they are broadcast.
+    A wall flips the momentum across it; fall empties the ghost but keeps its bed. Each
+    edge row is listed with the ghosts that copy it and exploded, so df is read once,
+    however many steps are chained. The lists have 2 * ngh entries whatever the grid, so
+    they are broadcast.
     """
     h, hu, hv = state
     for key, n, low, high, normal, other in (("i", nx, west, east, hu, hv), ("j", ny, south, north, hv, hu)):
-        rows = df.sparkSession.createDataFrame(ghost_map(n, ngh, low, high), "_g int, _s int, _f double, _k double")
-        ghosts = df.join(F.broadcast(rows), F.col(key) == F.col("_s")).withColumns(
-            {key: F.col("_g").cast(dict(df.dtypes)[key]), h: F.col(h) * F.col("_k"), normal: F.col(normal) * F.col("_f") * F.col("_k"), other: F.col(other) * F.col("_k")}
-        )
-        df = df.unionByName(ghosts.select(*df.columns))
+        copies: dict[int, list[tuple[int, float, float]]] = {}
+        for g, source, flip, keep in ghost_map(n, ngh, low, high):
+            copies.setdefault(source, []).append((g, flip, keep))
+        lists = df.sparkSession.createDataFrame(sorted(copies.items()), "_s int, _l array<struct<g:int,f:double,k:double>>")
+        own = F.array(F.struct(F.col(key).cast("int").alias("g"), F.lit(1.0).alias("f"), F.lit(1.0).alias("k")))
+        rows = df.join(F.broadcast(lists), F.col(key) == F.col("_s"), "left").withColumn("_e", F.explode(F.when(F.col("_l").isNull(), own).otherwise(F.concat(own, F.col("_l")))))
+        f, k = F.col("_e.f"), F.col("_e.k")
+        df = rows.withColumns({key: F.col("_e.g").cast(dict(df.dtypes)[key]), h: F.col(h) * k, normal: F.col(normal) * f * k, other: F.col(other) * k}).select(*df.columns)
     return df
 
 

@@ -16,10 +16,20 @@ def stable_sort(series: DataFrame, *keys: str, seq: str = "seq") -> DataFrame:
     return series.orderBy(*keys, "t", seq)
 
 
-def intervals(series: DataFrame, seq: str | None = None) -> DataFrame:
-    """(t0, v0, t1, v1): knots with the next one (null after the last), equal times in order of seq."""
-    w = Window.orderBy("t", *([seq] if seq else []))  # one series of knots, small beside its queries
-    return series.select(F.col("t").alias("t0"), F.col("v").alias("v0"), F.lead("t").over(w).alias("t1"), F.lead("v").over(w).alias("v1"))
+def intervals(series: DataFrame, seq: str | None = None, width: float = 21600.0) -> DataFrame:
+    """(t0, v0, t1, v1): knots with the next one (null after the last), equal times in order of seq.
+
+    Knots are ordered within buckets of time; the last of a bucket takes the first of the
+    next bucket that has any, from a list with one row for each bucket.
+    """
+    tie = [seq] if seq else []
+    knots = series.withColumn("_k", F.floor(F.col("t") / width))
+    w = Window.partitionBy("_k").orderBy("t", *tie)
+    first = knots.groupBy("_k").agg(F.min(F.struct("t", *tie, "v")).alias("f"))
+    after = first.select("_k", F.lead("f").over(Window.orderBy("_k")).alias("f"))  # a row for each bucket
+    x = knots.select("_k", F.col("t").alias("t0"), F.col("v").alias("v0"), F.lead("t").over(w).alias("_t"), F.lead("v").over(w).alias("_v")).join(after, "_k")
+    inside = F.col("_t").isNotNull()
+    return x.select("t0", "v0", F.when(inside, F.col("_t")).otherwise(F.col("f.t")).alias("t1"), F.when(inside, F.col("_v")).otherwise(F.col("f.v")).alias("v1"))
 
 
 def _ends(series: DataFrame, seq: str | None) -> DataFrame:
@@ -31,7 +41,7 @@ def _ends(series: DataFrame, seq: str | None) -> DataFrame:
 
 
 def _bucketed(queries: DataFrame, series: DataFrame, width: float, inside: Column, seq: str | None) -> DataFrame:
-    knots = intervals(series, seq).where("t1 > t0")
+    knots = intervals(series, seq, width).where("t1 > t0")
     listed = knots.withColumn("_k", F.explode(F.sequence(F.floor(F.col("t0") / width), F.floor(F.col("t1") / width))))
     return queries.withColumn("_k", F.floor(F.col("tq") / width)).join(listed, "_k").where(inside).drop("_k")
 
@@ -63,10 +73,13 @@ def regrid(series: DataFrame, start: float, stop: float, step: float) -> DataFra
     return asof_linear(grid, series)
 
 
-def out_of_order(series: DataFrame, seq: str = "seq") -> DataFrame:
+def out_of_order(series: DataFrame, seq: str = "seq", width: int = 100_000) -> DataFrame:
     """Rows whose time lies before that of the row ahead of them; equal times are in order."""
-    w = Window.orderBy(seq)  # one series
-    return series.withColumn("_p", F.lag("t").over(w)).where("_p > t").drop("_p")
+    x = series.withColumn("_k", F.floor(F.col(seq) / width))
+    last = x.groupBy("_k").agg(F.max_by("t", seq).alias("t"))
+    before = last.select("_k", F.lag("t").over(Window.orderBy("_k")).alias("_b"))  # a row for each run of seq
+    own = F.lag("t").over(Window.partitionBy("_k").orderBy(seq))
+    return x.withColumn("_p", own).join(before, "_k").where(F.coalesce("_p", "_b") > F.col("t")).select(*series.columns)
 
 
 def require_order(series: DataFrame, seq: str = "seq") -> DataFrame:

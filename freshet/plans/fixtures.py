@@ -67,7 +67,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = "asked AS (SELECT range AS q, range * CAST(7333 AS DOUBLE) - CAST(20000 AS DOUBLE) AS tq FROM range(400))"
 
 
-def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gauge_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(g, x, y): places of the first eight suppliers, some off the grid."""
     s = table(spark, sf_dir, "supplier").where("s_suppkey <= 8")
     return s.select(F.col("s_suppkey").cast("long").alias("g"), ((F.col("s_suppkey") * 13) % 70 - F.lit(2.5)).cast("double").alias("x"), ((F.col("s_suppkey") * 29) % 70 - F.lit(2.5)).cast("double").alias("y"))

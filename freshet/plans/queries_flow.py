@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from freshet.functions import flow, stencil
-from freshet.functions.program import Program, rounded, text
+from freshet.functions.program import Chain, Program, rounded, text
 from freshet.operators import ghosts
 from freshet.plans import fixtures as fx
 from freshet.plans.registry import FLAGSHIP, add, pointwise
@@ -166,6 +166,43 @@ def _rk3_sql() -> str:
 
 add("x4_ssp_rk3_step", lambda spark, sf: rk3_step(fx.cell(spark, sf), fx.N, fx.N, DX, DT, _PAD, bed="audusse").select("i", "j", *[F.expr(x) for x in rounded("h", "hu", "hv")]), _rk3_sql())
 
+# Two steps, ghosts renewed between them
+_TWO = Chain(["i", "j", "b", "h", "hu", "hv"], (stencil.residual(DX, DX, h_min=HM) + stencil.euler(DT, HM), {"h": "h1", "hu": "hu1", "hv": "hv1"}))
+
+
+def _two_steps(spark, sf_dir: str):
+    q = fx.cell(spark, sf_dir).select("i", "j", "b", "h", "hu", "hv")
+    for _ in range(2):
+        q = _TWO.apply(ghosts.fill(q, fx.N, fx.N, 2, **_PAD)).where(text(_GRID))
+    return q.select("i", "j", *[F.expr(x) for x in rounded("h", "hu", "hv")])
+
+
+def _two_sql() -> str:
+    out, last = fx.CELL, "cell"
+    for k in range(2):
+        out += f", pad{k} AS ({ghosts.fill_sql(last, fx.N, fx.N, 2, **_PAD)}), st{k} AS (SELECT * FROM ({_TWO.sql(f'pad{k}')}) AS z WHERE {_GRID})"
+        last = f"st{k}"
+    return f"WITH {out} SELECT i, j, {', '.join(rounded('h', 'hu', 'hv'))} FROM st1"
+
+
+add("x6_two_steps", _two_steps, _two_sql())
+
+# What follows the flow step, in the order of the drivers
+_S = {"h": "h1", "hu": "hu1", "hv": "hv1"}
+_AFTER = Chain(
+    ["i", "j", "n", "b", "h", "hu", "hv", "peak"],
+    (["nm = 0.02 + 0.01 * (n % 5)", *flow.friction_step("nm", DT)], {"hu": "hu1", "hv": "hv1"}),
+    (["pk = greatest(peak, h)"], {"peak": "pk"}),
+    (["rate = 0.0001 * (n % 5)", *flow.infiltration("rate", "60.0")], _S),
+    (flow.sponge(12, 64, 64, "0.8"), _S),
+    (_GA + flow.green_ampt_drain("60.0"), _S),
+    (["hm = if(i % 4 = 0, 0.1 + 0.05 * (j % 5), NULL)", *flow.depth_limit("hm")], _S),
+    (["ht = if(n % 3 = 0, 0.05 * (1 + n % 4), NULL)", *flow.depth_limit("ht")], _S),
+    (flow.depth_cap("0.4"), _S),
+)
+add("x7_forcings_in_order", lambda spark, sf: _AFTER.apply(fx.cell(spark, sf).withColumn("peak", F.lit(0.1))).select("i", "j", *[F.expr(x) for x in rounded("h", "hu", "hv", "peak", digits=12)]),
+    f"WITH {fx.CELL}, st AS (SELECT *, CAST('0.1' AS DOUBLE) AS peak FROM cell) SELECT i, j, {', '.join(rounded('h', 'hu', 'hv', 'peak', digits=12))} FROM ({_AFTER.sql('st')}) AS q")
+
 # The flagship: time step from the wave speeds, then one SRM-HLLC Euler step
 _FLAG = Program(stencil.residual(DX, DX, h_min=HM))
 _STEP = Program(stencil.euler("dt", HM))

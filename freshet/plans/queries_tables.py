@@ -8,6 +8,7 @@ from freshet.functions.program import rounded
 from freshet.operators import boundary, measure, raster, temporal
 from freshet.plans import fixtures as fx
 from freshet.plans.registry import add
+from freshet.streaming import gauges
 
 D = lambda x: f"CAST('{x}' AS DOUBLE)"
 
@@ -77,8 +78,8 @@ add("t10_constant_series", lambda s, d: temporal.asof_step(fx.asked(s, d), tempo
 
 # gauges
 _IN = "cells AS (SELECT g, CAST(floor(x / 1.0) AS INT) AS i, CAST(floor(y / 1.0) AS INT) AS j FROM gauges), placed AS (SELECT *, i BETWEEN 0 AND 63 AND j BETWEEN 0 AND 63 AS inside FROM cells)"
-add("j5_gauge_cells", lambda s, d: measure.gauge_cells(fx.gauges(s, d), 64, 64, 1.0), f"WITH {fx.GAUGES}, {_IN} SELECT g, i, j, inside FROM placed")
-add("a1_gauge_sample", lambda s, d: shown(measure.sample(fx.cell(s, d), measure.gauge_cells(fx.gauges(s, d), 64, 64, 1.0).where("inside")), "h", "u", "v", "eta", keys=("g",)),
+add("j5_gauge_cells", lambda s, d: measure.gauge_cells(fx.gauge_places(s, d), 64, 64, 1.0), f"WITH {fx.GAUGES}, {_IN} SELECT g, i, j, inside FROM placed")
+add("a1_gauge_sample", lambda s, d: shown(measure.sample(fx.cell(s, d), measure.gauge_cells(fx.gauge_places(s, d), 64, 64, 1.0).where("inside")), "h", "u", "v", "eta", keys=("g",)),
     f"WITH {fx.CELL}, {fx.GAUGES}, {_IN}, x AS (SELECT g, h, CASE WHEN h > 1e-12 THEN hu / h ELSE {D(0)} END AS u, CASE WHEN h > 1e-12 THEN hv / h ELSE {D(0)} END AS v, h + b AS eta FROM placed p JOIN cell c ON p.i = c.i AND p.j = c.j WHERE inside) SELECT g, {', '.join(rounded('h', 'u', 'v', 'eta'))} FROM x")
 add("a2_cadence", lambda s, d: measure.cadence(fx.stage(s, d), 86400.0).select("t"), f"WITH {fx.STAGE} SELECT t FROM stage QUALIFY row_number() OVER (PARTITION BY floor((t + 1e-12) / 86400.0) ORDER BY t) = 1")
 
@@ -129,13 +130,13 @@ def disc(s, d):
 _DISC = "disc AS (SELECT * FROM cell WHERE (i - 32) * (i - 32) + (j - 32) * (j - 32) <= 676)"
 _RING = """ring AS (SELECT i, j, b FROM disc a WHERE (SELECT count(*) FROM disc z WHERE (z.i = a.i AND abs(z.j - a.j) = 1) OR (z.j = a.j AND abs(z.i - a.i) = 1)) < 4)"""
 _IDW = f"raww AS (SELECT r.i, r.j, g AS gauge, {D(1)} / greatest(power((r.i + {D(0.5)}) * {D(1)} - x, 2) + power((r.j + {D(0.5)}) * {D(1)} - y, 2), {D(1)}) AS raw FROM ring r CROSS JOIN gauges), wts AS (SELECT i, j, gauge, raw / sum(raw) OVER (PARTITION BY i, j) AS w FROM raww)"
-add("d15_idw_weights", lambda s, d: shown(boundary.idw_weights(boundary.ring_cells(disc(s, d), 64, 64), fx.gauges(s, d), 1.0), "w", keys=("i", "j", "gauge")), f"WITH {fx.CELL}, {_DISC}, {_RING}, {fx.GAUGES}, {_IDW} SELECT i, j, gauge, {rounded('w')[0]} FROM wts")
+add("d15_idw_weights", lambda s, d: shown(boundary.idw_weights(boundary.ring_cells(disc(s, d), 64, 64), fx.gauge_places(s, d), 1.0), "w", keys=("i", "j", "gauge")), f"WITH {fx.CELL}, {_DISC}, {_RING}, {fx.GAUGES}, {_IDW} SELECT i, j, gauge, {rounded('w')[0]} FROM wts")
 
 
 def _ring_eta(s, d):
     ring = boundary.ring_cells(disc(s, d), 64, 64).join(fx.cell(s, d).select("i", "j", F.col("b").alias("bed")), ["i", "j"])
-    stage = fx.gauges(s, d).select(F.col("g").alias("gauge"), (F.lit(0.5) + F.lit(0.05) * F.col("g")).alias("eta"))
-    return shown(boundary.ring_stage(ring, boundary.idw_weights(ring, fx.gauges(s, d), 1.0), stage), "eta", "h", keys=("i", "j"))
+    stage = fx.gauge_places(s, d).select(F.col("g").alias("gauge"), (F.lit(0.5) + F.lit(0.05) * F.col("g")).alias("eta"))
+    return shown(boundary.ring_stage(ring, boundary.idw_weights(ring, fx.gauge_places(s, d), 1.0), stage), "eta", "h", keys=("i", "j"))
 
 
 add("b11_gauge_ring", _ring_eta, f"WITH {fx.CELL}, {_DISC}, {_RING}, {fx.GAUGES}, {_IDW}, e AS (SELECT i, j, sum(w * ({D(0.5)} + {D(0.05)} * gauge)) AS eta FROM wts GROUP BY i, j), x AS (SELECT i, j, eta, greatest({D(0)}, eta - b) AS h FROM e JOIN ring USING (i, j)) SELECT i, j, {', '.join(rounded('eta', 'h'))} FROM x")
@@ -154,3 +155,22 @@ _STATS = f"{_RAIN}, {_LOOK}, area AS (SELECT pix, count(*) AS cells FROM look GR
 add("d17_rain_frames", lambda s, d: shown(raster.frame_statistics(frames(s, d), area(s)), "mean", "peak", "volume", keys=("frame", "wet")), f"WITH {_STATS} SELECT frame, wet, {', '.join(rounded('mean', 'peak', 'volume'))} FROM stats")
 add("d18_best_frame", lambda s, d: shown(raster.best_frame(raster.frame_statistics(frames(s, d), area(s)), 1.5, 4.0), "score", keys=("frame",)),
     f"WITH {_STATS}, sc AS (SELECT frame, abs(mean - {D(1.5)}) / {D(1.5)} + abs(peak - {D(4)}) / {D(4)} AS score FROM stats ORDER BY score, frame LIMIT 1) SELECT frame, {rounded('score')[0]} FROM sc")
+
+
+# Streams (an addition): first record and peaks of each gauge by day, over the events table as a stream
+def _stream(spark, sf_dir: str, made):
+    import uuid
+
+    schema = fx.table(spark, sf_dir, "events").schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"stream_{uuid.uuid4().hex}"
+    src = src.select((F.col("user_id") % 8).alias("g"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 100).alias("h"))
+    q = made(src).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+_EV = "g8 AS (SELECT user_id % 8 AS g, ts, value / 100 AS h, CAST(floor(epoch_us(ts) / CAST(86400000000 AS DOUBLE)) AS BIGINT) AS d FROM events)"
+_DAY = "CAST(floor(unix_micros(start) / 86400000000D) AS BIGINT) AS d"
+add("stream_cadence", lambda s, d: _stream(s, d, lambda x: gauges.cadence(x, "1 day")).select("g", F.expr(_DAY), *[F.expr(e) for e in rounded("h")]), f"WITH {_EV}, f AS (SELECT g, d, min_by(h, ts) AS h FROM g8 GROUP BY 1, 2) SELECT g, d, {rounded('h')[0]} FROM f")
+add("stream_peaks", lambda s, d: _stream(s, d, lambda x: gauges.peaks(x, "1 day")).select("g", F.expr(_DAY), "n", *[F.expr(e) for e in rounded("peak", "mean")]), f"WITH {_EV}, f AS (SELECT g, d, count(*) AS n, max(h) AS peak, avg(h) AS mean FROM g8 GROUP BY 1, 2) SELECT g, d, n, {', '.join(rounded('peak', 'mean'))} FROM f")
