@@ -165,3 +165,18 @@ def best_frame(stats: DataFrame, mean: float, peak: float) -> DataFrame:
     """The frame closest to a wanted mean and peak (one row)."""
     score = F.abs(F.col("mean") - mean) / mean + F.abs(F.col("peak") - peak) / peak
     return stats.withColumn("score", score).where("score is not null").orderBy("score", "frame").limit(1)
+
+
+def bilinear(coarse: DataFrame, fine: DataFrame, ratio: float, nx: int, ny: int) -> DataFrame:
+    """fine (i, j) with z between the four coarse centres around its own; edges are held."""
+    u, v = (F.col("i") + 0.5) * ratio - 0.5, (F.col("j") + 0.5) * ratio - 0.5
+    a, c = F.floor(u), F.floor(v)
+    corners = F.array(*[
+        F.struct(
+            F.least(F.greatest(a + d, F.lit(0)), F.lit(nx - 1)).cast("int").alias("ci"), F.least(F.greatest(c + e, F.lit(0)), F.lit(ny - 1)).cast("int").alias("cj"),
+            ((u - a if d else 1 - (u - a)) * (v - c if e else 1 - (v - c))).alias("w"),
+        )
+        for d in (0, 1) for e in (0, 1)
+    ])
+    x = fine.select("i", "j", F.explode(corners).alias("c")).select("i", "j", "c.ci", "c.cj", "c.w")
+    return x.join(coarse.select(F.col("i").alias("ci"), F.col("j").alias("cj"), "z"), ["ci", "cj"]).groupBy("i", "j").agg(F.sum(F.col("z") * F.col("w")).alias("z"))

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def micros() -> F.Column:
+    """Microseconds of an event since 2024-01-01, whatever the session's time zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+
+
 def cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(i, j, n, b, h, hu, hv) on a 64 x 64 grid; sums are of integers, so order is no matter."""
     agg = (
@@ -38,7 +43,7 @@ cell AS (SELECT *, h * ((n % 17 - 8) / CAST(32 AS DOUBLE)) AS hu, h * ((5 - n %
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, v): hourly rain rates in mm/h by seconds since 2024-01-01."""
-    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(3600000000)).cast("long")
+    hour = F.floor(micros() / F.lit(3600000000)).cast("long")
     return table(spark, sf_dir, "events").groupBy(hour.alias("hr")).agg(F.count("*").alias("n")).select((F.col("hr") * F.lit(3600.0)).alias("t"), (F.col("n") % 50).cast("double").alias("v"))
 
 
@@ -48,7 +53,7 @@ series AS (SELECT hr * CAST(3600 AS DOUBLE) AS t, CAST(n % 50 AS DOUBLE) AS v FR
 
 def stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, v): first event of each six hours, t in whole microseconds, v a stage in metres."""
-    us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
+    us = micros()
     e = table(spark, sf_dir, "events").select(us.alias("us"), "event_id", "value")
     one = e.groupBy(F.floor(F.col("us") / F.lit(21600000000)).cast("long").alias("w")).agg(F.min(F.struct("us", "event_id", "value")).alias("f"))
     return one.select((F.col("f.us") / F.lit(1000000.0)).alias("t"), (F.col("f.value") / F.lit(100.0)).alias("v"))

@@ -29,7 +29,7 @@ add("t2_linear_lookup", lambda s, d: shown(temporal.asof_linear(fx.asked(s, d),
 
 def hydrograph(s, d):
     """Purchases a day as m3/s at midnight."""
-    day = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(86400000000))
+    day = F.floor(fx.micros() / F.lit(86400000000))
     return fx.table(s, d, "events").where("event_type = 'purchase'").groupBy(day.alias("dd")).agg(F.count("*").alias("n")).select((F.col("dd") * F.lit(86400.0)).alias("t"), F.col("n").cast("double").alias("v"))
 
 
@@ -41,7 +41,7 @@ add("t4_common_grid", lambda s, d: shown(temporal.regrid(fx.stage(s, d), -86400.
 
 def shuffled(s, d):
     """Stage rows with a scattered order of arrival, so that time goes back and forth."""
-    us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
+    us = fx.micros()
     e = fx.table(s, d, "events").where("event_id % 40 = 0")
     return e.select((F.col("event_id") * 7919 % 1000003).alias("seq"), F.floor(us / F.lit(3600000000)).cast("double").alias("t"), F.col("value").alias("v"))
 
@@ -54,7 +54,7 @@ add("s4_keep_last", lambda s, d: shown(temporal.keep_last(shuffled(s, d)), "v",
 
 def native_rain(s, d):
     """(t, pix, rate): events by six hours and user."""
-    us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
+    us = fx.micros()
     return fx.table(s, d, "events").groupBy((F.floor(us / F.lit(21600000000)) * F.lit(21600.0)).alias("t"), (F.col("user_id") % 64).cast("int").alias("pix")).agg(F.count("*").cast("double").alias("rate"))
 
 

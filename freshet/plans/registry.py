@@ -37,4 +37,4 @@ def pointwise(name: str, lines: list[str], out: list[str], where: str = "", keys
     add(name, build, f"WITH {cte} SELECT {', '.join(shown)} FROM ({program.sql(view)}) AS r{rule}")
 
 
-from freshet.plans import queries_flow, queries_grid, queries_tables  # noqa: E402, F401  (they register)
+from freshet.plans import queries_flow, queries_grid, queries_more, queries_tables  # noqa: E402, F401  (they register)

@@ -83,3 +83,14 @@ def test_sigma_sweeps_settle(spark):
         change.append(np.abs(out.sigma.to_numpy() - prev.sigma.to_numpy()).max())
         base = out
     assert change[-1] < 0.05 * change[0]
+
+
+def test_analytic_profiles():
+    from freshet.functions import analytic
+
+    assert analytic.ritter(0.0, 1.0)[0] == pytest.approx(4 / 9)
+    assert analytic.ritter(99.0, 1.0) == (0.0, 0.0) and analytic.ritter(-99.0, 1.0) == (1.0, 0.0)
+    xs, hs = analytic.sheet_flow(300.0, 22.04 / 3.6e6, 0.015, 0.12)
+    kin = [analytic.kinematic_depth(x, 22.04 / 3.6e6, 0.015, 0.12) for x in xs]
+    band = [k for k, x in enumerate(xs) if 30 <= x <= 294]
+    assert max(abs(hs[k] / kin[k] - 1) for k in band) < 0.05 and all(hs[k] < hs[k + 1] for k in band)
