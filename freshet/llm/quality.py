@@ -54,10 +54,27 @@ def dense_index() -> np.ndarray:
     return out
 
 
+def _letters(word: str) -> str | None:
+    """The shape of a word of letters in one case or with one capital, if it is one."""
+    if word.isalpha():
+        if word.islower():
+            return "a"
+        if word.isupper():
+            return "A"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
+    return None
+
+
 def shape(word: str) -> str:
     """Capitals, other letters and digits as A, a and 9; runs of one sign as one."""
+    plain = _letters(word)
+    if plain:
+        return plain
+    if not (word[-1].isalnum() or word[-2:-1] == word[-1]) and (plain := _letters(word[:-1])):
+        return plain + word[-1]
     s = _NUM.sub("9", word)
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in s)
+    s = "".join(["A" if c.isupper() else "a" if c.isalpha() else c for c in s])
     return _RUN.sub(r"\1", s)[:6]
 
 
@@ -65,6 +82,23 @@ def _bucket(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+#: Words met by this worker with their buckets, at most KEPT.
+_SEEN: dict[str, tuple[int, int]] = {}
+KEPT = 300_000
+
+
+def buckets(word: str) -> tuple[int, int]:
+    """Buckets of a word's core (its first run of letters and digits, lower case) and shape."""
+    made = _SEEN.get(word)
+    if made is None:
+        core = word.lower() if word.isalpha() else (m := _CORE.search(word)) and m.group().lower() or word
+        made = _bucket(core), _bucket("\0" + shape(word))
+        if len(_SEEN) >= KEPT:
+            _SEEN.clear()
+        _SEEN[word] = made
+    return made
+
+
 class Words:
     """Buckets of words and of their shapes, for a list of texts."""
 
@@ -72,10 +106,9 @@ class Words:
         flat = np.array([w for ws in items for w in ws], dtype=object)
         self.doc = np.repeat(np.arange(len(items)), [len(w) for w in items])
         at, unique = pd.factorize(flat) if len(flat) else (np.empty(0, np.int64), np.empty(0, object))
-        core = [(m := _CORE.search(w)) and m.group().lower() or w for w in unique]
-        self.word = np.array([_bucket(c) for c in core], dtype=np.int64)[at] if len(at) else at
-        self.shape = np.array([_bucket("\0" + shape(w)) for w in unique], dtype=np.int64)[at] if len(at) else at
-        self.size = np.array([len(w) for w in unique], dtype=np.float32)[at] if len(at) else at
+        both = np.array([buckets(w) for w in unique], dtype=np.int64).reshape(-1, 2)
+        self.word, self.shape = both[at, 0], both[at, 1]
+        self.size = np.array([len(w) for w in unique], dtype=np.float32)[at]
 
 
 def context_sums(made: Words, total: np.ndarray) -> None:
