@@ -8,7 +8,7 @@ candidate counts if the exact weighted similarity of its shingles (sum of the sm
 counts over sum of the larger) reaches ``SIMILARITY``.
 
 Windows that can't reach the similarity are passed over first, with no loss: a window of
-as many shingles as its item needs 2s / (1 + s) of them among the benchmark's shingles.
+as many shingles as its item needs 2s / (1 + s) of them among those of items that long.
 The radius is wide: pairs of similarity 0.8 lie near distance 10, four deviations below.
 
 Scale. Documents are read once and never shuffled. The benchmark goes along as a
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from freshet.llm.common import ship, texts
 
 WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 5
-SHARD, SHARD_BYTES = 5000, 8_000_000
+SHARD, SHARD_BYTES = 2000, 8_000_000
 SLICE = 200_000
 _WORD = re.compile(r"\w+")
 _STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -90,13 +90,18 @@ class Index:
                 k = min(width, len(w))
                 sh = shingle_hashes(np.array([word_hash(x) for x in w], np.uint64), k)
                 self.items.append((item_id, len(w), k, self.grams(w, k), simhash(sh), sh))
-        self.sizes = sorted({(i[1], i[2]) for i in self.items})
-        self.member, self.quick = {}, {}
+        self.sizes: dict[int, list[int]] = {}
+        self.member, self.quick, self.of_size = {}, {}, {}
         for k in {i[2] for i in self.items}:
             known = np.unique(np.concatenate([i[5] for i in self.items if i[2] == k]))
             quick = np.zeros(1 << 20, bool)
             quick[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.member[k], self.quick[k] = known, quick
+            sizes = self.sizes[k] = sorted({i[1] for i in self.items if i[2] == k})
+            of_size = np.zeros((len(known), len(sizes)), bool)
+            for i in self.items:
+                if i[2] == k:
+                    of_size[np.searchsorted(known, i[5]), sizes.index(i[1])] = True
+            self.member[k], self.quick[k], self.of_size[k] = known, quick, of_size
         edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
         self.cut = list(zip(edges, edges[1:]))
         self.probe, self.table = [], []
@@ -135,21 +140,21 @@ class Index:
             if not len(at):
                 continue
             known = self.member[k]
-            at = at[known[np.minimum(np.searchsorted(known, sh[at]), len(known) - 1)] == sh[at]]
-            if not len(at):
-                continue
-            seen = np.zeros(len(sh) + 1, np.int64)
-            seen[at + 1] = 1
-            seen = np.cumsum(seen)
-            for size, width in self.sizes:
-                if width != k:
-                    continue
+            place = np.minimum(np.searchsorted(known, sh[at]), len(known) - 1)
+            same = known[place] == sh[at]
+            at, own = at[same], self.of_size[k][place[same]]
+            counts = own.sum(axis=0)
+            for c in np.flatnonzero(counts):
+                size = self.sizes[k][c]
                 whole = size - k + 1
                 run = min(whole, len(sh))
-                need = self.least / (1 + self.least) * (whole + run)
-                if need > run + 1e-9 or seen[-1] < need - 1e-9:
+                need = self.least / (1 + self.least) * (whole + run) - 1e-9
+                if need > min(run, counts[c]):
                     continue
-                for s in np.flatnonzero(seen[run:] - seen[:-run] >= need - 1e-9).tolist():
+                seen = np.zeros(len(sh) + 1, np.int64)
+                seen[at[own[:, c]] + 1] = 1
+                seen = np.cumsum(seen)
+                for s in np.flatnonzero(seen[run:] - seen[:-run] >= need).tolist():
                     fp = simhash(sh[s : s + run])
                     for n in self.within(fp):
                         item_id, length, kk, grams, other, _ = self.items[n]
