@@ -50,22 +50,27 @@ def _terms(lines: DataFrame, *keys: str) -> DataFrame:
     return lines.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
+def digest(line) -> F.Column:
+    """What stands for a line in joins and sums: lines may be as long as a document."""
+    return F.unhex(F.sha2(line.cast("binary"), 256))
+
+
 def score_lines(lines: DataFrame, least: float = LEAST) -> DataFrame:
-    """(line, license, score) for the different lines that match a template; lines may repeat."""
+    """(key, license, score) of the different lines (key, line) that match a template; lines may repeat."""
     spark = lines.sparkSession
-    known = cut(lines.groupBy("line").agg(F.count("*").alias("n")))
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    terms = cut(_terms(known, "line", "n"))
+    known = lines.groupBy("key").agg(F.count("*").alias("n"), F.any_value("line").alias("line"))
+    terms = cut(_terms(known, "key", "n"))
+    total = lines.agg(F.count("*").alias("n")).first().n
     df = terms.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(1.0) + F.lit(float(total))) / (F.lit(1.0) + F.coalesce(F.col("df"), F.lit(0)))) + 1.0
     model = _terms(templates(spark), "license").join(df, "term", "left").withColumn("tw", F.col("tf") * idf).select("license", "term", "tw")
     size = model.groupBy("license").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
-    own = terms.join(df, "term").withColumn("w", F.col("tf") * idf).select("line", "term", "w")
-    norm = own.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("wn"))
-    dot = own.join(F.broadcast(model), "term").groupBy("line", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dot.join(norm, "line").join(F.broadcast(size), "license").withColumn("score", F.round(F.col("dot") / (F.col("wn") * F.col("tn")), 6))
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b"))
-    return best.select("line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")).where(F.col("score") >= least)
+    own = terms.join(df, "term").withColumn("w", F.col("tf") * idf).select("key", "term", "w")
+    norm = own.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("wn"))
+    dot = own.join(F.broadcast(model), "term").groupBy("key", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dot.join(norm, "key").join(F.broadcast(size), "license").withColumn("score", F.round(F.col("dot") / (F.col("wn") * F.col("tn")), 6))
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b"))
+    return best.select("key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")).where(F.col("score") >= least)
 
 
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
@@ -73,9 +78,9 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     plain = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = F.col("path").isNotNull() & F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES)
     units = F.when(F.col("text").rlike(KEYS), F.filter(F.concat(F.split("text", "\n"), F.when(whole, F.array("text")).otherwise(F.array().cast("array<string>"))), lambda x: x.rlike(KEYS)))
-    lines = cut(plain.select("doc_id", "path", F.explode(units).alias("line")))
-    told = score_lines(lines, least)
-    own = lines.join(told, "line").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b"))
+    lines = plain.select("doc_id", "path", F.explode(units).alias("line")).withColumn("key", digest(F.col("line")))
+    told = score_lines(lines.select("key", "line"), least)
+    own = lines.select("doc_id", "path", "key").join(told, "key").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b"))
     own = cut(own.select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score")))
     folders = (
         own.where(F.element_at(F.split("_p", "/"), -1).rlike(FILE_NAMES))
