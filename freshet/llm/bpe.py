@@ -22,17 +22,17 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from freshet.llm.common import ship, texts
 
 #: Unicode White_Space: what the file calls a blank.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[^{_SPACE}]+")
 #: Entries of each worker's tables, of words as they stand and of lower-case pieces.
-WORDS_KEPT, PIECES_KEPT = 200_000, 500_000
+WORDS_KEPT, PIECES_KEPT = 200_000, 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -170,8 +170,16 @@ def _encoder(spec) -> Bpe:
     return _MADE[digest]
 
 
-def encode_documents(docs: DataFrame, path: str, *keep: str, rows: int = 500) -> DataFrame:
-    """(doc_id, *keep, n_tokens, ids array<int>, decoded_sha256); made ``rows`` rows at a time."""
+#: Texts held as Python strings at a time.
+ROWS = 500
+
+
+def _sha(s: str) -> str:
+    return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def encode_documents(docs: DataFrame, path: str, *keep: str, rows: int = ROWS) -> DataFrame:
+    """(doc_id, *keep, n_tokens, ids array<int>, decoded_sha256)."""
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(read_spec(path))
@@ -179,32 +187,34 @@ def encode_documents(docs: DataFrame, path: str, *keep: str, rows: int = 500) ->
 
     def run(batches):
         bpe = _encoder(spec)
-        for pdf in batches:
-            for at in range(0, len(pdf), rows):
-                part = pdf.iloc[at : at + rows]
-                made = [bpe.coded(t) for t in part["text"]]
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = [bpe.coded(t) for t in part.column("text").to_pylist()]
                 ids = [np.array(m[0].split(), dtype=np.int32) for m in made]
-                yield part[["doc_id", *keep]].assign(n_tokens=[len(i) for i in ids], ids=ids, decoded_sha256=[hashlib.sha256(m[1].encode()).hexdigest() for m in made])
+                new = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([_sha(m[1]) for m in made], pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", *keep)] + new, ["doc_id", *keep, "n_tokens", "ids", "decoded_sha256"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.select("doc_id", *keep).schema)
-    return plain.mapInPandas(run, f"{kept}, n_tokens long, ids array<int>, decoded_sha256 string")
+    return plain.mapInArrow(run, f"{kept}, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
-def digest_documents(docs: DataFrame, path: str) -> DataFrame:
+def digest_documents(docs: DataFrame, path: str, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256); the lists stay in the worker."""
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(read_spec(path))
-    sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
     def run(batches):
         bpe = _encoder(spec)
-        for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                ids, plain = bpe.coded(t)
-                rows.append((ids.count(" ") + 1 if ids else 0, sha(ids), sha(plain)))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.array(n, dtype=np.int64), "ids_sha256": list(a), "decoded_sha256": list(b)})
-
-    return texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = [bpe.coded(t) for t in part.column("text").to_pylist()]
+                n = [m[0].count(" ") + 1 if m[0] else 0 for m in made]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([_sha(m[0]) for m in made], pa.string()), pa.array([_sha(m[1]) for m in made], pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
