@@ -50,6 +50,7 @@ WINDOW, GRAM = 13, 6
 REFERENCE, STREAM, SLICE = 100_000, 200_000, 200_000
 #: Repeated anchors for each pass, and the bits of their filter (32 MB in PIECES parts).
 FILTER_KEYS, FILTER_BITS, PIECES = 50_000_000, 1 << 28, 64
+#: Ids, or begins and ends of spans, that may be broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _ODD = [int(x) | 1 for x in np.random.default_rng(1313).integers(1, 1 << 63, 64, dtype=np.uint64)]
 
@@ -277,18 +278,15 @@ def window_rows(held: DataFrame, window: int) -> DataFrame:
 
 def passages(held: DataFrame, matched: DataFrame, window: int) -> DataFrame:
     """(doc_id, tk, ref, begin, n, words): text of each run of windows that has one reference."""
-    lists = matched.groupBy("doc_id", "tk", "begin").agg(F.collect_list(F.struct("ref", "at")).alias("parts"))  # the words of one run at most
+    lists = matched.groupBy("doc_id", "tk", "begin", "ref").agg(F.collect_list(F.col("at").cast("int")).alias("at"))  # the words of one run at most
     both = held.join(lists, ["doc_id", "tk", "begin"])
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc, tk, begin, text, parts in zip(pdf["doc_id"], pdf["tk"], pdf["begin"], pdf["words"], pdf["parts"]):
-                words, by = text.split(), {}
-                for p in parts:
-                    by.setdefault(p["ref"], []).append(p["at"])
-                for ref, at in by.items():
-                    rows += [(doc, tk, ref, begin + b, e - b, b" ".join(words[b:e])) for b, e in runs(np.array(at), window)]
+            for doc, tk, begin, text, ref, at in zip(*(pdf[c] for c in ("doc_id", "tk", "begin", "words", "ref", "at"))):
+                words = text.split()
+                rows += [(doc, tk, ref, begin + b, e - b, b" ".join(words[b:e])) for b, e in runs(np.asarray(at), window)]
             yield pd.DataFrame(rows, columns=["doc_id", "tk", "ref", "begin", "n", "words"])
 
     return both.mapInPandas(run, "doc_id long, tk long, ref long, begin long, n long, words binary")
@@ -401,7 +399,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             n, r, k = zip(*out) if out else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": list(n), "n_removed": list(r), "kept_sha256": list(k)})
 
-    few = F.broadcast(lists) if lists.count() <= BROADCAST_IDS // 10 else lists
+    size = lists.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0)).alias("n")).first().n
+    few = F.broadcast(lists) if size <= BROADCAST_IDS else lists
     cutted = keyed(docs).join(few, ["doc_id", "tk"]).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     copied = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
     whole = told.join(lists.select("doc_id", "tk"), ["doc_id", "tk"], "left_anti").select(
