@@ -344,7 +344,8 @@ def repeated_spans(firsts: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         more = cut(held_runs(firsts, bits, window, gram, k, shares))
         held = more if held is None else held.unionByName(more)
     windows = window_rows(held, window)
-    least = windows.groupBy("w").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("most")).where("ref < most").select("w", "ref")
+    # written, so that the join below reads two plain exchanges and a hot window can be split
+    least = cut(windows.groupBy("w").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("most")).where("ref < most").select("w", "ref"))
     matched = windows.join(least, "w").select("doc_id", "tk", "begin", "ref", "at")
     found = cut(passages(held, matched, window))
     # shards of about REFERENCE reference words; streams salted into pieces of about STREAM words
