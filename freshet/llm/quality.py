@@ -34,7 +34,7 @@ from freshet.llm.common import fold_of, ship, texts
 
 DIM, BUCKETS, REACH, NONZERO, PIECES = 48, 1 << 14, 2, 4, 64
 SAMPLE, FOLDS, HELD_OUT, THRESHOLD = 8000, 5, 0, 0.3
-SLICE = 200_000
+SLICE = 400_000
 _CORE, _NUM, _RUN = re.compile(r"[^\W_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
 
 
@@ -82,17 +82,17 @@ def _bucket(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-#: Words met by this worker with their buckets, at most KEPT.
-_SEEN: dict[str, tuple[int, int]] = {}
+#: Words met by this worker with both their buckets in one number, at most KEPT.
+_SEEN: dict[str, int] = {}
 KEPT = 300_000
 
 
-def buckets(word: str) -> tuple[int, int]:
-    """Buckets of a word's core (its first run of letters and digits, lower case) and shape."""
+def buckets(word: str) -> int:
+    """Bucket of a word's core (its first run of letters and digits, lower case) times BUCKETS, plus that of its shape."""
     made = _SEEN.get(word)
     if made is None:
         core = word.lower() if word.isalpha() else (m := _CORE.search(word)) and m.group().lower() or word
-        made = _bucket(core), _bucket("\0" + shape(word))
+        made = _bucket(core) * BUCKETS + _bucket("\0" + shape(word))
         if len(_SEEN) >= KEPT:
             _SEEN.clear()
         _SEEN[word] = made
@@ -104,11 +104,12 @@ class Words:
 
     def __init__(self, items: list[list[str]]):
         flat = np.array([w for ws in items for w in ws], dtype=object)
-        self.doc = np.repeat(np.arange(len(items)), [len(w) for w in items])
+        self.count = np.array([len(w) for w in items], dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(items)), self.count)
         at, unique = pd.factorize(flat) if len(flat) else (np.empty(0, np.int64), np.empty(0, object))
-        both = np.array([buckets(w) for w in unique], dtype=np.int64).reshape(-1, 2)
-        self.word, self.shape = both[at, 0], both[at, 1]
-        self.size = np.array([len(w) for w in unique], dtype=np.float32)[at]
+        both = np.fromiter(map(buckets, unique), np.int64, len(unique))[at]
+        self.word, self.shape = both // BUCKETS, both % BUCKETS
+        self.size = np.fromiter(map(len, unique), np.float32, len(unique))[at]
 
 
 def context_sums(made: Words, total: np.ndarray) -> None:
@@ -169,18 +170,20 @@ def context_table(docs: DataFrame) -> np.ndarray:
 def pooled(items: list[list[str]], table: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """One row of features for each list of words."""
     made, n = Words(items), len(items)
-    count = np.bincount(made.doc, minlength=n).astype(np.float64)
+    count = made.count.astype(np.float64)
     per = np.maximum(count, 1)[:, None]
-    first = np.searchsorted(made.doc, np.arange(n))
     out = np.zeros((n, 3 * DIM + 6), np.float32)
-    some = count > 0
     if len(made.word):
-        at = first[some]
-        v = table[made.word]
-        mean = np.add.reduceat(v, at, axis=0) / per[some]
-        out[some, :DIM] = mean
-        out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(0, np.add.reduceat(v * v, at, axis=0) / per[some] - mean**2))
-        out[some, 2 * DIM : 3 * DIM] = np.add.reduceat(shapes[made.shape], at, axis=0) / per[some]
+        end = 0
+        for d, many in enumerate(made.count.tolist()):
+            if not many:
+                continue
+            begin, end = end, end + many
+            v = table[made.word[begin:end]]
+            mean = v.sum(axis=0, dtype=np.float64) / many
+            out[d, :DIM] = mean
+            out[d, DIM : 2 * DIM] = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", v, v) / many - mean**2))
+            out[d, 2 * DIM : 3 * DIM] = shapes[made.shape[begin:end]].sum(axis=0) / many
         again = np.zeros(len(made.word))
         again[1:] = (made.word[1:] == made.word[:-1]) & (made.doc[1:] == made.doc[:-1])
         pairs = np.unique(made.doc * BUCKETS + made.word) // BUCKETS
