@@ -35,6 +35,27 @@ BROADCAST_IDS = 1_000_000
 _M64 = (1 << 64) - 1
 
 
+def shingles(text: str, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of ``width`` words, A-Z lower-cased; repeated ones repeat."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    line, n = b" ".join(words), max(1, len(words) - width + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[x:y], seed) for x, y in zip(begins[:n].tolist(), last.tolist())], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        total += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
     """Majority bits of the XXH64 of each shingle of ``width`` words, A-Z lower-cased."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -201,6 +222,27 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADI
     )
 
 
+def text_digest(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row of docs for each group of marked (doc_id, td, grp), td being the text's digest.
+
+    It is the row with the smallest doc_id, then digest; of rows that repeat both, one
+    stays. Rows without doc_id all stay.
+    """
+    rows = cut(marked.where("doc_id is not null").groupBy("grp", "doc_id", "td").agg(F.count("*").alias("n")))
+    first = rows.groupBy("grp").agg(F.min(F.struct("doc_id", "td")).alias("f"))
+    told = rows.join(first, "grp").select(F.col("doc_id").alias("_i"), F.col("td").alias("_t"), (F.struct("doc_id", "td") != F.col("f")).alias("_gone"), "n")
+    told = cut(told.where("_gone or n > 1").drop("n"))
+    if told.count() <= BROADCAST_IDS:
+        told = F.broadcast(told)
+    seen = docs.join(told, (docs["doc_id"] == F.col("_i")) & (text_digest(docs["text"]) == F.col("_t")), "left").where("_gone is null or not _gone")
+    once = seen.where("_gone is not null").dropDuplicates(["_i", "_t"])
+    return seen.where("_gone is null").unionByName(once).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents whose doc_id names their component: one of each group of near copies.
 
