@@ -243,13 +243,16 @@ def keep_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return seen.where("_gone is null").unionByName(once).select(*docs.columns)
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose doc_id names their component: one of each group of near copies.
+def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """One row of each group of near copies, the one with the smallest doc_id.
 
-    Of repeated rows with one doc_id all stay only if identical ids are distinct rows by
-    design; documents without doc_id are kept.
+    Rows are told apart by doc_id and text: of an id with two texts each goes or stays with
+    its own group. Of exact repeats one stays. Documents without doc_id are kept.
     """
-    gone = cut(simhash_components(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    plain = texts(docs).select(text_digest(F.col("text")).alias("doc_id"), "text")
+    marked = cut(fingerprints(plain, width).distinct().select(F.col("doc_id").alias("td"), "fp"))
+    nodes = cut(marked.select("fp", F.col("fp").alias("rep")).distinct())
+    roots = components(link_forest(nodes, radius, blocks))
+    named = marked.join(roots, marked.fp == roots.node, "left").select("td", F.coalesce("root", "fp").alias("grp"))
+    rows = texts(docs).select("doc_id", text_digest(F.col("text")).alias("td"))
+    return keep_rows(docs, rows.join(named, "td"))

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from freshet.llm import near_copies
+from freshet.llm import near_copies, simhash_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,3 +55,11 @@ def test_stage_decides_by_row(spark):
     out = near_copies.keep_one(df)
     assert out.columns == df.columns
     assert sorted(((x.doc_id or 0), x.text) for x in out.collect()) == [(0, long), (1, long), (5, rows[2][1]), (7, "once only")]
+
+
+def test_simhash_keep_one_decides_by_row(spark):
+    long = " ".join(f"x{k}" for k in range(80))
+    rows = [(1, long), (5, long), (5, "another text of more than five words"), (7, "once only"), (7, "once only"), (None, long)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    out = simhash_dedup.keep_one(df)
+    assert sorted(((x.doc_id or 0), x.text) for x in out.collect()) == [(0, long), (1, long), (5, rows[2][1]), (7, "once only")]
