@@ -5,6 +5,9 @@ fingerprints at a Hamming distance of at most ``RADIUS`` agree on at least
 ``BLOCKS - RADIUS`` whole pieces, so joining on every combination of that many pieces
 misses no link. Distances are then verified inside each bucket.
 
+The number of blocks grows with the number of fingerprints (``blocks_for``), so that keys
+get longer as there are more to tell apart; every choice finds the same links.
+
 Scale. Equal fingerprints collapse to one node first, so exact copies (a third of all
 rows, say) cost one row. Buckets are read as sorted runs, never as one group in memory;
 a bucket of more than ``CHUNK`` different fingerprints is dealt out as pairs of chunks.
@@ -13,8 +16,10 @@ which keeps what is shuffled in proportion to the nodes. Components come from
 star-contraction rounds over checkpointed edges; nothing is collected.
 
 Edge cases: null or blank texts have the fingerprint zero and link like any other;
-repeated doc_ids give repeated rows; null doc_ids keep their row, never name a component
-that has another id; an empty table gives an empty result; other columns are ignored.
+repeated doc_ids give repeated rows; rows without doc_id keep their row, never name a
+component that has another id, and have a null component_id if no row of their
+fingerprint has an id; ids stay in Arrow and are exact over the whole range of longs; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +28,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import components, cut, ship, texts
+from freshet.llm.common import Marks, components, cut, join_lowest, map_texts, ship, texts, whole_rows
 
 RADIUS, BLOCKS, CHUNK, SHINGLE, SEED = 4, 6, 4096, 4, 42
-#: Ids that may be broadcast (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-_M64 = (1 << 64) - 1
 
 
 def shingles(text: str, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -57,20 +60,9 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
-    """Majority bits of the XXH64 of each shingle of ``width`` words, A-Z lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    line, n = b" ".join(words), max(1, len(words) - width + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    begins = np.concatenate(([0], ends[:-1] + 1))
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
-    for at in range(0, n, 1 << 16):
-        b, e = begins[at : min(n, at + (1 << 16))].tolist(), last[at : at + (1 << 16)].tolist()
-        h = np.array([digest(line[x:y], seed) for x, y in zip(b, e)], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    """Majority bits of the XXH64 of each shingle of ``width`` words; zero without words."""
+    h = shingles(text, width, seed)
+    return majority(h) if len(h) else 0
 
 
 def _sign(x: int) -> int:
@@ -79,13 +71,16 @@ def _sign(x: int) -> int:
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
-    ship(docs.sparkSession)
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([_sign(fingerprint(t, width)) for t in pdf["text"]], dtype=np.int64)})
+    def start():
+        return lambda column: [[_sign(fingerprint(t, width)) for t in column]]
+
+    return map_texts(texts(docs), start, {"fp": pa.int64()}, "doc_id")
 
-    return texts(docs).mapInPandas(run, "doc_id long, fp long")
+
+def blocks_for(count: int) -> int:
+    """Blocks for so many fingerprints: keys of 21 bits, 27 over 2 ** 24, 32 over 2 ** 30."""
+    return BLOCKS + (count > 1 << 24) + (count > 1 << 30)
 
 
 def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -184,10 +179,10 @@ def _scan(keys: list[str], radius: int, batch: int = 50_000):
     return run
 
 
-def link_forest(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def link_forest(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) that connect nodes (rep, fp) of different fingerprints within the radius."""
     ship(nodes.sparkSession)
-    masks = [_sign(m) for m in block_masks(blocks, radius)]
+    masks = [_sign(m) for m in block_masks(blocks or blocks_for(nodes.count()), radius)]
     keyed = nodes.select(
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("c", "m"), "fp", "rep"
     )
@@ -211,7 +206,7 @@ def link_forest(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, ch
     )
 
 
-def simhash_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document."""
     marked = cut(fingerprints(docs, width))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -230,20 +225,30 @@ def keep_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """One row of docs for each group of marked (doc_id, td, grp), td being the text's digest.
 
     It is the row with the smallest doc_id, then digest; of rows that repeat both, one
-    stays. Rows without doc_id all stay.
+    stays. Rows without doc_id all stay. Only rows that a filter of fixed size takes for
+    such as go or repeat are shuffled; the others stay where they are.
     """
-    rows = cut(marked.where("doc_id is not null").groupBy("grp", "doc_id", "td").agg(F.count("*").alias("n")))
-    first = rows.groupBy("grp").agg(F.min(F.struct("doc_id", "td")).alias("f"))
-    told = rows.join(first, "grp").select(F.col("doc_id").alias("_i"), F.col("td").alias("_t"), (F.struct("doc_id", "td") != F.col("f")).alias("_gone"), "n")
-    told = cut(told.where("_gone or n > 1").drop("n"))
-    if told.count() <= BROADCAST_IDS:
-        told = F.broadcast(told)
-    seen = docs.join(told, (docs["doc_id"] == F.col("_i")) & (text_digest(docs["text"]) == F.col("_t")), "left").where("_gone is null or not _gone")
-    once = seen.where("_gone is not null").dropDuplicates(["_i", "_t"])
-    return seen.where("_gone is null").unionByName(once).select(*docs.columns)
-
-
-def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    rows = cut(marked.where("doc_id is not null").groupBy("grp", "doc_id", "td").agg(F.count("*").alias("times")))
+    sized = cut(rows.groupBy("grp").agg(F.min(F.struct("doc_id", "td")).alias("f"), F.count("*").alias("n")).where("n > 1"))
+    mixed = join_lowest(rows, sized, "grp", rows.count()).select("doc_id", "td", (F.struct("doc_id", "td") != F.col("f")).alias("gone")).where("gone")
+    again = rows.where("times > 1").select("doc_id", "td", F.lit(False).alias("gone"))
+    told = cut(mixed.unionByName(again).groupBy("doc_id", "td").agg(F.max("gone").alias("gone")))
+    key = F.xxhash64("doc_id", "td")
+    marks = Marks(told.select(key.alias("k")), told.count())
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def hit(k: pd.Series) -> pd.Series:
+        return pd.Series(marks.hits(k.to_numpy(np.int64)))
+
+    seen = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("td")).withColumn("hit", hit(key))
+    calm = seen.where("not hit").select("row.*")
+    asked = seen.where("hit").join(told, ["doc_id", "td"], "left")
+    once = asked.where("not gone").dropDuplicates(["doc_id", "td"]).select("row.*")
+    return calm.unionByName(asked.where("gone is null").select("row.*")).unionByName(once)
+
+
+def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """One row of each group of near copies, the one with the smallest doc_id.
 
     Rows are told apart by doc_id and text: of an id with two texts each goes or stays with
