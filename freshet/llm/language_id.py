@@ -20,14 +20,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import fold_of, ship, texts
+from freshet.llm.common import ddl, fold_of, map_texts, record, ship, slices, texts, told_texts, whole_rows
 
-TOP, FOLDS, HELD_OUT, SLICE = 300, 3, 1, 100_000
+TOP, FOLDS, HELD_OUT, SLICE, LEAST = 300, 3, 1, 100_000, 0.1
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PAD = ord("_")
 
@@ -70,11 +69,13 @@ def profiles(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
     """Each language's most frequent grams, from all rows of docs with text and lang."""
     ship(docs.sparkSession)
 
+    fields = {"lang": pa.string(), "gram": pa.int64(), "n": pa.int64()}
+
     def count(batches):
         held: dict[str, list] = {}
         size = 0
-        for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"]):
+        for part in slices(batches):
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 codes, n = gram_counts(text)
                 if len(codes):
                     held.setdefault(lang, []).append((codes, n))
@@ -83,18 +84,18 @@ def profiles(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
                 held = {k: [added(v)] for k, v in held.items()}
                 size = sum(len(v[0][0]) for v in held.values())
                 if size > 1_000_000:  # hand on what has been counted so far
-                    yield from frames(held)
+                    yield from rows(held)
                     held, size = {}, 0
-        yield from frames(held)
+        yield from rows(held)
 
-    def frames(held):
+    def rows(held):
         for lang, v in held.items():
             codes, n = added(v)
-            yield pd.DataFrame({"lang": lang, "gram": codes, "n": n})
+            yield record(fields, (pa.array([lang] * len(codes), pa.string()), codes, n))
 
     total = (
         texts(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang").select("lang", "text")
-        .mapInPandas(count, "lang string, gram long, n long")
+        .mapInArrow(count, ddl(fields))
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -129,37 +130,39 @@ def guess(text: str, names: list[str], grams: np.ndarray, rank: np.ndarray, top:
 
 def predict(docs: DataFrame, known: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
     """(doc_id, lang_pred, score)."""
-    ship(docs.sparkSession)
     made = docs.sparkSession.sparkContext.broadcast(tables(known))
 
-    def run(batches):
-        names, grams, rank = made.value
-        for pdf in batches:
-            out = [guess(t, names, grams, rank, top) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [o[0] for o in out], "score": [o[1] for o in out]})
+    def start():
+        return lambda column: zip(*[guess(t, *made.value, top) for t in column])
+
+    return map_texts(texts(docs), start, {"lang_pred": pa.string(), "score": pa.float64()}, "doc_id")
 
-    return texts(docs).mapInPandas(run, "doc_id long, lang_pred string, score double")
+
+def taught(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
+    """Profiles from the rows that aren't held out."""
+    fold = fold_of(F.col("doc_id"), FOLDS)
+    return profiles(docs.where(fold.isNull() | (fold != HELD_OUT)), top)
 
 
 def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); learns only from rows that aren't held out."""
-    fold = fold_of(F.col("doc_id"), FOLDS)
-    known = profiles(docs.where(fold.isNull() | (fold != HELD_OUT)), top)
-    made = predict(docs, known, top)
-    return made.select("doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    made = predict(docs, taught(docs, top), top)
+    return made.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, top: int = TOP) -> DataFrame:
-    """The rows of docs whose language is found, with all their columns and no shuffle."""
-    fold = fold_of(F.col("doc_id"), FOLDS)
-    known = profiles(docs.where(fold.isNull() | (fold != HELD_OUT)), top)
-    made = docs.sparkSession.sparkContext.broadcast(tables(known))
+def keep_identified(docs: DataFrame, top: int = TOP, least: float = LEAST) -> DataFrame:
+    """The rows of docs in a language that was found, with all their columns and no shuffle.
+
+    A document goes if it is ``und`` or if its score is under ``least``: its grams are then
+    nearly as far from the nearest profile as grams that no profile holds. Where ``lang`` is
+    null it becomes the language found; a lang that was given stays. Null text is empty.
+    """
+    made = docs.sparkSession.sparkContext.broadcast(tables(taught(docs, top)))
     ship(docs.sparkSession)
 
-    def run(batches):
-        names, grams, rank = made.value
-        for batch in batches:
-            found = [guess(t or "", names, grams, rank, top)[0] != "und" for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(found, pa.bool_()))
+    def start():
+        return lambda column: [dict(zip(("name", "score"), guess(t, *made.value, top))) for t in column]
 
-    return docs.mapInArrow(run, docs.schema)
+    told = docs.select(whole_rows(docs), told_texts(F.col("text"), start, "struct<name:string,score:double>").alias("t"))
+    lang = F.coalesce(F.col("row.lang").cast("string"), F.col("t.name"))
+    return told.where((F.col("t.name") != "und") & (F.col("t.score") >= least)).select(F.col("row").withField("lang", lang).alias("row")).select("row.*")
