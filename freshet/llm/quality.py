@@ -15,9 +15,11 @@ rows, the ones with the smallest hash of their id. What is broadcast is the cont
 table (``BUCKETS * DIM`` floats) and the network.
 
 Edge cases: null or empty text pools to zeros and is scored like any other; labels that
-are null are ignored, an id with several labels counts once for each different label;
-without labels, or with labels of one kind, every score is the smoothed base rate;
-repeated rows stay; other columns are ignored.
+are null are ignored, an id with several labels counts once for each different label, an
+id with several texts is learned from one of them (the one whose features sort first);
+without labels, or with labels of one kind, every score is the smoothed base rate; with
+under five labelled rows the temperature stays 1; repeated rows and rows without doc_id
+stay (the latter are not held out); ids stay in Arrow; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import fold_of, ship, texts
+from freshet.llm.common import ddl, fold_of, map_texts, record, ship, slices, texts
 
 DIM, BUCKETS, REACH, NONZERO, PIECES = 48, 1 << 14, 2, 4, 64
 SAMPLE, FOLDS, HELD_OUT, THRESHOLD = 8000, 5, 0, 0.3
@@ -142,23 +145,25 @@ def context_table(docs: DataFrame) -> np.ndarray:
     ship(docs.sparkSession)
     step = BUCKETS // PIECES
 
+    fields = {"piece": pa.int32(), "v": pa.binary()}
+
     def count(batches):
         total = np.zeros(BUCKETS * DIM)
-        for pdf in batches:
-            for _, held in _groups(pdf["text"]):
+        for part in slices(batches):
+            for _, held in _groups(part.column("text").to_pylist()):
                 context_sums(Words(held), total)
         part = total.astype(np.float32).reshape(PIECES, step * DIM)
-        yield pd.DataFrame({"piece": np.arange(PIECES), "v": [p.tobytes() for p in part]})
+        yield record(fields, (np.arange(PIECES, dtype=np.int32), [p.tobytes() for p in part]))
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for piece, v in zip(pdf["piece"], pdf["v"]):
+        for part in slices(batches, 64):
+            for piece, v in zip(part.column("piece").to_pylist(), part.column("v").to_pylist()):
                 x = np.frombuffer(v, np.float32)
                 held[piece] = held[piece] + x if piece in held else x.astype(np.float64)
-        yield pd.DataFrame({"piece": list(held), "v": [v.astype(np.float32).tobytes() for v in held.values()]})
+        yield record(fields, (list(held), [v.astype(np.float32).tobytes() for v in held.values()]))
 
-    rows = texts(docs).select("text").mapInPandas(count, "piece int, v binary").repartition(PIECES, "piece").mapInPandas(add, "piece int, v binary").collect()
+    rows = texts(docs).select("text").mapInArrow(count, ddl(fields)).repartition(PIECES, "piece").mapInArrow(add, ddl(fields)).collect()
     table = np.zeros((PIECES, step * DIM), np.float32)
     for r in rows:  # one of PIECES rows each
         table[r.piece] += np.frombuffer(r.v, np.float32)
@@ -204,7 +209,7 @@ class Network:
         self.hidden, self.seed, self.base, self.temperature, self.w = hidden, seed, None, 1.0, None
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4) -> "Network":
-        if len(y) < 10 or len(np.unique(y)) < 2:
+        if len(np.unique(y)) < 2:
             self.base = float((y.sum() + 1) / (len(y) + 2))
             return self
         rng = np.random.default_rng(self.seed)
@@ -229,6 +234,8 @@ class Network:
                     vv += 0.001 * (gr * gr - vv)
                     p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.999**step)) + 1e-8)
         self.w = w
+        if not len(cal):
+            return self
         logit, tc = self.logit(x[cal]), t[cal]
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
         loss = [np.mean(np.logaddexp(0, logit / g) - tc * logit / g) for g in grid]
@@ -258,17 +265,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: i
     both = texts(docs).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "_y", "doc_id")
     shared = spark.sparkContext.broadcast(table)
 
-    def run(batches):
+    def start():
         shapes = dense_index()
-        for pdf in batches:
-            for at, held in _groups(pdf["text"]):
-                x = pooled(held, shared.value, shapes)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[at], "y": pdf["_y"].to_numpy()[at], "x": [r.tobytes() for r in x]})
 
-    rows = both.mapInPandas(run, "doc_id long, y int, x binary").toPandas()  # at most ``sample`` ids
-    rows = rows.assign(h=rows["x"]).sort_values(["doc_id", "y", "h"], kind="stable")
+        def made(column):
+            return [[r.tobytes() for _, held in _groups(column) for r in pooled(held, shared.value, shapes)]]
+
+        return made
+
+    found = map_texts(both, start, {"x": pa.binary()}, "doc_id", "_y")
+    rows = found.groupBy("doc_id", "_y").agg(F.min("x").alias("x")).toPandas()  # at most ``sample`` rows
+    rows = rows.sort_values(["doc_id", "_y"], kind="stable")
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["x"]]) if len(rows) else np.zeros((0, 3 * DIM + 6), np.float32)
-    return Network().fit(x, rows["y"].to_numpy(dtype=np.int64))
+    return Network().fit(x, rows["_y"].to_numpy(dtype=np.int64))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -278,14 +287,16 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     table = context_table(docs)
     model = spark.sparkContext.broadcast((table, fit_quality(docs, labels, table, sample)))
 
-    def run(batches):
+    def start():
         shapes = dense_index()
-        table_, net = model.value
-        for pdf in batches:
-            for at, held in _groups(pdf["text"]):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at], "score": net.score(pooled(held, table_, shapes))})
 
-    made = texts(docs).mapInPandas(run, "doc_id long, score double")
+        def scores(column):
+            table_, net = model.value
+            return [np.concatenate([net.score(pooled(held, table_, shapes)) for _, held in _groups(column)])]
+
+        return scores
+
+    made = map_texts(texts(docs), start, {"score": pa.float64()}, "doc_id")
     return made.select(
         "doc_id", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
