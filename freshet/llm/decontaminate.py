@@ -13,13 +13,16 @@ The radius is wide: pairs of similarity 0.8 lie near distance 10, four deviation
 
 Scale. Documents are read once and never shuffled. The benchmark goes along as a
 broadcast in shards of at most ``SHARD`` items and ``SHARD_BYTES`` bytes; a larger one is
-several passes, none of which drops anything. Only hits leave the tasks.
+several passes over the documents, one after the other, none of which drops anything, so
+a worker never holds more than one shard's index. Only hits leave the tasks.
 
 Edge cases: words are runs of letters and digits, in lower case; items of under five
 words are one shingle of all their words, items without words are ignored, equal items
 under several ids are all reported; a document shorter than an item is one window; null
-and empty texts have no hits; repeated rows repeat hits; an empty table or benchmark gives
-no hits. The earliest of the best windows is reported for each document and item.
+and empty texts have no hits; repeated rows repeat hits, rows without doc_id keep theirs,
+and ids stay in Arrow; items without item_id are looked for and reported as null; an empty
+table or benchmark gives no hits. The earliest of the best windows is reported for each
+document and item.
 """
 
 from __future__ import annotations
@@ -35,14 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import ship, texts
+from freshet.llm.common import ddl, record, ship, slices, texts, told_texts, written
 
 WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 5
 SHARD, SHARD_BYTES = 2000, 8_000_000
 SLICE = 200_000
 _WORD = re.compile(r"\w+")
 _STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
-HIT = "doc_id long, item_id long, start_word long, n_words int, hamming int, similarity double"
+HIT = {"item_id": pa.int64(), "start_word": pa.int64(), "n_words": pa.int32(), "hamming": pa.int32(), "similarity": pa.float64()}
 
 
 def words_of(text: str) -> list[str]:
@@ -183,13 +186,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WORDS, leas
 
         def run(batches, shared=shared):
             index = Index(shared.value, width, least, radius, blocks)
-            for pdf in batches:
-                ids = pdf["doc_id"].tolist()
-                rows = [(ids[i], *x) for i, found in enumerate(found_in(pdf["text"], index)) for x in found]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
+            for batch in slices(batches):
+                told = found_in(batch.column("text").to_pylist(), index)
+                at = pa.array([i for i, found in enumerate(told) for _ in found], pa.int64())
+                yield record(HIT, list(zip(*[x for found in told for x in found])) or [[]] * len(HIT), {"doc_id": batch.column("doc_id").take(at)})
 
-        found = plain.mapInPandas(run, HIT)
+        found = plain.mapInArrow(run, "doc_id long, " + ddl(HIT))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -213,17 +215,20 @@ def found_in(column, index: Index) -> list[list[tuple]]:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns and no shuffle."""
+    """The documents that hold no benchmark item, with all their columns and no shuffle.
+
+    With several shards the rows left by each are written before the next one is read.
+    """
     spark = docs.sparkSession
     ship(spark)
-    for part in item_shards(benchmark):
+    for k, part in enumerate(item_shards(benchmark)):
+        if k:
+            docs = written(docs)
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])  # a bounded shard
 
-        def run(batches, shared=shared):
+        def start(shared=shared):
             index = Index(shared.value, width, least, radius, blocks)
-            for batch in batches:
-                column = [t or "" for t in batch.column("text").to_pylist()]
-                yield batch.filter(pa.array([not x for x in found_in(column, index)], pa.bool_()))
+            return lambda column: [not x for x in found_in(column, index)]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.where(told_texts(F.col("text"), start, "boolean"))
     return docs
