@@ -3,35 +3,37 @@
 A word goes if it lies in a window of ``WINDOW`` words whose sequence also starts in a
 document with a smaller id. All windows are judged on the input.
 
-Method. Reference shards hold the first occurrence (smallest id) of each repeated passage.
-Each shard becomes a suffix automaton over words; the passages of other documents are
-streamed through it for matching statistics, and words of maximal matches of at least
-``WINDOW`` words are removed. Broadcasting automata of the whole corpus can't work: they
-grow with the input and every document would meet every shard. So passages are routed:
-a shard is dealt to a task together with the passages that hashing says it must explain,
-and the automaton decides on the words themselves.
-
-Routing, in three bounded steps:
-1. Copies of a whole document are found by a digest of its words. A later copy loses
-   every word that lies in a window; only the first goes on.
+Method. Passages that may repeat are dealt out to shards; in each shard a suffix automaton
+over words grows from the passages of ever larger ids. Each document's passages are
+streamed through the automaton of all smaller ids for matching statistics, and words of
+maximal matches of at least ``WINDOW`` words are removed. Broadcasting automata of the
+whole corpus can't work: they grow with the input and every document would meet every
+shard. So passages are routed, and every window meets all its equals in one shard. Hashes
+only route: a hash that two different passages share costs work, never a result.
+
+Routing.
+1. Texts with the same words (by SHA-256) are copies. The one with the smallest id goes on;
+   a later copy loses every word that lies in a window.
 2. Anchors. Of the 6-grams of a window the one with the least hash is its anchor, so equal
-   windows share an anchor. A window whose anchor occurs in one document only is not
-   repeated: most of the text ends here. Repeated anchors go along as a bit filter of
-   fixed size; over ``FILTER_KEYS`` of them are several passes, each with its share of the
-   anchors and so of the windows. A false hit costs work, never a result.
-3. The windows left are grouped by hash for the smallest id; each is then sent to the
-   shard of that id, joined into maximal runs.
-
-Scale. Texts are shuffled once, to meet their spans. Counts and minima are added up
-before shuffles. A document that many others repeat is one reference and many streams:
-streams are salted into pieces of about ``STREAM`` words, the reference is replicated
-for each, and an automaton is built for about ``REFERENCE`` words at a time, cut with
-overlaps so that no window is lost.
+   windows share an anchor. A window whose anchor occurs in one text only is not repeated:
+   most of the text ends here. Repeated anchors go along as a filter of fixed size; over
+   ``FILTER_KEYS`` of them are several passes, each with its share of the anchors.
+3. Neighbouring windows with one anchor make a segment of at most WINDOW + span - 1 words.
+   Equal segments (by a 128-bit digest) are added up to one with its smallest id; an
+   occurrence in a later document is covered whole. Different segments of one anchor meet
+   in one shard, where the automaton decides on their words. An anchor with over
+   ``SPLIT`` different segments is cut up into its windows, which are joined on their words.
+
+Scale. There is one plan at all sizes. Only texts that a filter of fixed size takes for
+copies, or for texts that lose words, are shuffled. Counts and minima are added up before
+shuffles. A shard has about ``REFERENCE`` words. Keys with many rows are joined where
+their rows lie (``common.join_lowest``).
 
 Edge cases: null or blank texts have no words; texts of under 13 words lose none; a
 repeat inside one document counts only if a smaller id holds it too; rows that repeat a
 doc_id are each judged against smaller ids only; rows without doc_id are left whole and
-explain nothing; an empty table gives an empty result.
+explain nothing; ids stay in Arrow and are exact over the whole range of longs; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,18 +42,18 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import cut, ship, texts
+from freshet.llm.common import Marks, cut, ddl, join_lowest, map_texts, record, ship, slices, texts, written
 
 WINDOW, GRAM = 13, 6
-REFERENCE, STREAM, SLICE = 100_000, 200_000, 200_000
-#: Repeated anchors for each pass, and the bits of their filter (32 MB in PIECES parts).
-FILTER_KEYS, FILTER_BITS, PIECES = 50_000_000, 1 << 28, 64
-#: Ids, or begins and ends of spans, that may be broadcast (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Words of a shard, different segments of an anchor before it is cut up, words hashed together.
+REFERENCE, SPLIT, SLICE = 100_000, 2000, 200_000
+#: Repeated anchors for each pass.
+FILTER_KEYS = 50_000_000
 _ODD = [int(x) | 1 for x in np.random.default_rng(1313).integers(1, 1 << 63, 64, dtype=np.uint64)]
 
 
@@ -60,8 +62,8 @@ def split(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def sha(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def sha(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
 
 
 def rolling(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
@@ -91,11 +93,15 @@ def anchors(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a sequence of word numbers (negative: a break that matches nothing)."""
+    """Suffix automaton that grows word by word (negative numbers: breaks that match nothing)."""
 
-    def __init__(self, sequence: list[int]):
-        nxt, link, length = [{}], [-1], [0]
-        last = 0
+    def __init__(self, sequence=()):
+        self.next, self.link, self.length, self.last = [{}], [-1], [0], 0
+        self.add(sequence)
+
+    def add(self, sequence) -> None:
+        """Append a sequence of word numbers."""
+        nxt, link, length, last = self.next, self.link, self.length, self.last
         for c in sequence:
             cur = len(nxt)
             nxt.append({})
@@ -119,9 +125,9 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.next, self.link, self.length = nxt, link, length
+        self.last = last
 
-    def matching(self, sequence: list) -> list[int]:
+    def matching(self, sequence) -> list[int]:
         """The length of the longest match that ends at each place."""
         nxt, link, length = self.next, self.link, self.length
         at, run, out = 0, 0, []
@@ -172,241 +178,235 @@ def _hashed(column):
             group, n = [], 0
 
 
-def _long(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _key(digests: list[bytes]) -> np.ndarray:
+    """64 bits of each digest."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, n_words, digest): the words of each document, counted and digested."""
+def profile(plain: DataFrame) -> DataFrame:
+    """(doc_id, n_words, digest, dk): the words of each document, counted and digested; dk is 64 bits of the digest."""
 
-    def run(batches):
-        for pdf in batches:
-            made = [(len(w), sha(w)) for w in map(split, pdf["text"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "tk": pdf["tk"], "n_words": [m[0] for m in made], "digest": [m[1] for m in made]})
+    def start():
+        def told(column):
+            made = [(len(w), sha(w)) for w in map(split, column)]
+            return [m[0] for m in made], [m[1] for m in made], _key([m[1] for m in made])
 
-    return docs.mapInPandas(run, "doc_id long, tk long, n_words long, digest string")
+        return told
 
+    return map_texts(plain, start, {"n_words": pa.int64(), "digest": pa.binary(), "dk": pa.int64()}, "doc_id")
 
-def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(a): the different anchors of each document."""
-    span = window - gram + 1
+
+def first_texts(plain: DataFrame, sized: DataFrame) -> tuple[DataFrame, Marks]:
+    """(doc_id, text) of the first of each group of copies, and the filter that tells copies.
+
+    sized (digest, dk, first, n) has a row for each group of several rows. Rows that the filter
+    takes for copies by mistake are among the texts, too.
+    """
+    marks = Marks(sized.select(F.col("dk").alias("k")), sized.count())
+    fields = {"digest": pa.binary()}
 
     def run(batches):
-        for pdf in batches:
-            own = [np.unique(g[np.unique(anchors(g, span))]) for _, _, h in _hashed(pdf["text"]) if len(h) >= window for g in [rolling(h, gram)]]
-            if own:
-                yield pd.DataFrame({"a": _long(np.concatenate(own))})
+        for part in slices(batches):
+            told = [sha(split(t)) for t in part.column("text").to_pylist()]
+            hit = marks.hits(_key(told))
+            yield record(fields, [told], {k: part.column(k) for k in ("doc_id", "text")}).filter(pa.array(hit))
 
-    return docs.select("text").mapInPandas(run, "a long")
+    asked = plain.where("doc_id is not null").mapInArrow(run, "doc_id long, text string, digest binary")
+    return written(asked.groupBy("digest").agg(F.min(F.struct("doc_id", "text")).alias("f")).select("f.*")), marks
 
 
-def _bits(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Part of the filter and two places in it, for each anchor."""
-    a = a.view(np.uint64)
-    size = np.uint64(FILTER_BITS // PIECES)
-    return (a >> np.uint64(58)).astype(np.int64), ((a >> np.uint64(8)) % size).astype(np.int64), ((a * np.uint64(_ODD[62]) >> np.uint64(20)) % size).astype(np.int64)
+def single(marks: Marks):
+    """The places of a slice of texts whose words the filter doesn't take for copied."""
+    return lambda column: np.flatnonzero(~marks.hits(_key([sha(split(t)) for t in column])))
 
 
-def anchor_filter(often: DataFrame) -> np.ndarray:
-    """Bits set for the anchors given, (PIECES, FILTER_BITS / PIECES / 8) bytes."""
+def scanned(plain: DataFrame, firsts: DataFrame, marks: Marks, made, schema: str) -> DataFrame:
+    """made(batches of doc_id and text) over the texts without copies and the first of those with copies."""
+    alone = single(marks)
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            piece, x, y = _bits(pdf["a"].to_numpy())
-            for p in np.unique(piece):
-                bits = held.setdefault(int(p), np.zeros(FILTER_BITS // PIECES, bool))
-                bits[x[piece == p]] = bits[y[piece == p]] = True
-        yield pd.DataFrame({"p": list(held), "b": [np.packbits(v, bitorder="little").tobytes() for v in held.values()]})
-
-    part = F.shiftrightunsigned("a", 58).cast("int")
-    out = np.zeros((PIECES, FILTER_BITS // PIECES // 8), np.uint8)
-    for r in often.repartition(PIECES, part).mapInPandas(run, "p int, b binary").toLocalIterator():  # PIECES rows of fixed size
-        out[r.p] |= np.frombuffer(r.b, np.uint8)
-    return out
+        def left():
+            for part in slices(batches):
+                yield part.take(pa.array(alone(part.column("text").to_pylist()), pa.int64()))
 
+        yield from made(left())
 
-def runs(at: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Spans [begin, end) of words covered by windows at the given places."""
-    at = np.unique(at)
-    if not len(at):
-        return []
-    breaks = np.flatnonzero(np.diff(at) > 1) + 1
-    return [(int(p[0]), int(p[-1]) + window) for p in np.split(at, breaks)]
+    whole = plain.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
+    return whole.unionByName(firsts.select("doc_id", "text").mapInArrow(lambda batches: made(slices(batches)), schema))
 
 
-def held_runs(docs: DataFrame, bits, window: int, gram: int, share: int, shares: int) -> DataFrame:
-    """(doc_id, tk, begin, words): runs of windows whose anchor passes the filter."""
-    span = window - gram + 1
+def anchor_rows(window: int, gram: int):
+    """(a): the different anchors of each text."""
 
     def run(batches):
-        table = bits.value
-        for pdf in batches:
-            ids, tks, rows = pdf["doc_id"].tolist(), pdf["tk"].tolist(), []
-            for i, words, h in _hashed(pdf["text"]):
-                if len(h) < window:
-                    continue
-                own = rolling(h, gram)
-                own = own[anchors(own, span)]
-                piece, x, y = _bits(own)
-                hold = (table[piece, x >> 3] >> (x & 7)) & (table[piece, y >> 3] >> (y & 7)) & 1
-                if shares > 1:
-                    hold &= own % np.uint64(shares) == share
-                rows += [(ids[i], tks[i], b, b" ".join(words[b:e])) for b, e in runs(np.flatnonzero(hold), window)]
-            yield pd.DataFrame(rows, columns=["doc_id", "tk", "begin", "words"])
+        for part in batches:
+            own = [np.unique(g[np.unique(anchors(g, window - gram + 1))]) for _, _, h in _hashed(part.column("text").to_pylist()) if len(h) >= window for g in [rolling(h, gram)]]
+            if own:
+                yield record({"a": pa.int64()}, [np.concatenate(own).view(np.int64)])
+
+    return run
+
 
-    return docs.mapInPandas(run, "doc_id long, tk long, begin long, words binary")
+#: a: anchor; g: digest of the segment's words; dk: 64 bits of the digest of the document's words.
+SEGMENT = {"a": pa.int64(), "g": pa.binary(), "dk": pa.int64(), "begin": pa.int64(), "n": pa.int32(), "words": pa.binary()}
 
 
-def window_rows(held: DataFrame, window: int) -> DataFrame:
-    """(w, doc_id, tk, begin, at): the windows of runs; at counts from the run's begin."""
+def segment_rows(window: int, gram: int, marks: Marks, share: int, shares: int):
+    """Segments of windows whose anchor passes the filter: (doc_id, *SEGMENT)."""
+    span = window - gram + 1
 
     def run(batches):
-        for pdf in batches:
-            ids, tks, begins = (pdf[c].to_numpy() for c in ("doc_id", "tk", "begin"))
-            out: list[list] = [[], [], []]
-            for i, _, h in _hashed([w.decode("utf-8", "surrogatepass") for w in pdf["words"]]):
-                w = rolling(h, window, 16)
-                for o, x in zip(out, (_long(w), np.full(len(w), i), np.arange(len(w)))):
-                    o.append(x)
-            if out[0]:
-                w, i, at = map(np.concatenate, out)
-                yield pd.DataFrame({"w": w, "doc_id": ids[i], "tk": tks[i], "begin": begins[i], "at": at})
+        for part in batches:
+            at, rows = [], []
+            for i, words, h in _hashed(part.column("text").to_pylist()):
+                if len(h) < window:
+                    continue
+                grams = rolling(h, gram)
+                place = anchors(grams, span)
+                own = grams[place]
+                hold = marks.hits(own.view(np.int64))
+                if shares > 1:
+                    hold &= own % np.uint64(shares) == share
+                held = np.flatnonzero(hold)
+                if not len(held):
+                    continue
+                cuts = np.flatnonzero((np.diff(held) > 1) | (np.diff(place[held]) != 0)) + 1
+                begins, ends = held[np.concatenate(([0], cuts))].tolist(), (held[np.concatenate((cuts - 1, [len(held) - 1]))] + window).tolist()
+                dk = int(_key([sha(words)])[0])
+                for b, e in zip(begins, ends):
+                    line = b" ".join(words[b:e])
+                    rows.append((int(own[b].astype(np.int64)), xxhash.xxh3_128_digest(line), dk, b, e - b, line))
+                    at.append(i)
+            yield record(SEGMENT, list(zip(*rows)) or [[]] * len(SEGMENT), {"doc_id": part.column("doc_id").take(pa.array(at, pa.int64()))})
 
-    return held.mapInPandas(run, "w long, doc_id long, tk long, begin long, at long")
+    return run
 
 
-def passages(held: DataFrame, matched: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tk, ref, begin, n, words): text of each run of windows that has one reference."""
-    lists = matched.groupBy("doc_id", "tk", "begin", "ref").agg(F.collect_list(F.col("at").cast("int")).alias("at"))  # the words of one run at most
-    both = held.join(lists, ["doc_id", "tk", "begin"])
+def windows_of(segments: DataFrame, window: int) -> DataFrame:
+    """(a, g, first, w, at): each window of segments (a, g, first, words), w being its words."""
+    fields = {"w": pa.binary(), "at": pa.int32()}
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for doc, tk, begin, text, ref, at in zip(*(pdf[c] for c in ("doc_id", "tk", "begin", "words", "ref", "at"))):
-                words = text.split()
-                rows += [(doc, tk, ref, begin + b, e - b, b" ".join(words[b:e])) for b, e in runs(np.asarray(at), window)]
-            yield pd.DataFrame(rows, columns=["doc_id", "tk", "ref", "begin", "n", "words"])
+        for part in slices(batches, 5000):
+            rows, at = [], []
+            for i, line in enumerate(part.column("words").to_pylist()):
+                words = line.split()
+                rows += [(b" ".join(words[b : b + window]), b) for b in range(len(words) - window + 1)]
+                at += [i] * (len(words) - window + 1)
+            at = pa.array(at, pa.int64())
+            yield record(fields, list(zip(*rows)) or [[], []], {k: part.column(k).take(at) for k in ("a", "g", "first")})
 
-    return both.mapInPandas(run, "doc_id long, tk long, ref long, begin long, n long, words binary")
+    return segments.select("a", "g", "first", "words").mapInArrow(run, "a long, g binary, first long, " + ddl(fields))
 
 
-def automata(references: list[list[bytes]], window: int, most: int = REFERENCE):
-    """(automaton, word numbers) for about ``most`` reference words at a time.
-
-    A passage longer than that is cut with an overlap of window - 1 words; breaks between
-    passages are numbers that no word has.
-    """
-    held, number, breaks = [], {}, 0
-    for words in references:
-        for at in range(0, max(1, len(words) - window + 1), most):
-            breaks += 1
-            held.append(-breaks)
-            held += [number.setdefault(w, len(number)) for w in words[at : at + most + window - 1]]
-            if len(held) >= most:
-                yield Automaton(held), number
-                held, number = [], {}
-    if held:
-        yield Automaton(held), number
+SPAN = {"at": pa.int32(), "n": pa.int32()}
 
 
 def explain(window: int):
-    """For one shard: spans of the streamed passages that its reference holds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = (pdf["doc_id"] == pdf["ref"]).to_numpy()
-        refs = pdf[own].sort_values(["ref", "tk", "begin"])
-        asked = pdf[~own]
-        streams = [x.split() for x in asked["words"]]
-        found = []
-        for made, number in automata([x.split() for x in refs["words"]], window):
-            for n, words in enumerate(streams):
-                found += [(n, b, e) for b, e in covered(made.matching([number.get(w, -(1 << 40)) for w in words]), window)]
-        n, b, e = (np.array(v, dtype=np.int64) for v in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        start = asked["begin"].to_numpy()[n]
-        return pd.DataFrame({"doc_id": asked["doc_id"].to_numpy()[n], "tk": asked["tk"].to_numpy()[n], "begin": start + b, "end": start + e})
+    """For one shard (a, g, first, words): the spans that passages of smaller ids hold too, by segment."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first, a = table.column("first").to_numpy(), table.column("a").to_numpy()
+        # an anchor with one segment has nothing to explain it
+        _, group, size = np.unique(a, return_inverse=True, return_counts=True)
+        order = np.flatnonzero(size[group] > 1)
+        order = order[np.argsort(first[order], kind="stable")]
+        words = table.column("words").to_pylist()
+        made, number, breaks = Automaton(), {}, 0
+        at, found = [], []
+        for ids in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+            own = [(k, [number.setdefault(w, len(number)) for w in words[k].split()]) for k in ids.tolist()]
+            for k, line in own:
+                for b, e in covered(made.matching(line), window):
+                    at.append(k)
+                    found.append((b, e - b))
+            for _, line in own:
+                breaks -= 1
+                made.add(line)
+                made.add((breaks,))
+        return pa.Table.from_batches([record(SPAN, list(zip(*found)) or [[], []], {k: table.column(k).combine_chunks().take(pa.array(at, pa.int64())) for k in ("a", "g")})])
 
     return run
 
 
-def repeated_spans(firsts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, tk, begin, end): word spans of different texts that smaller ids hold too."""
-    spark = firsts.sparkSession
-    rows = anchor_rows(firsts, window, gram)
+def repeated_spans(plain: DataFrame, firsts: DataFrame, marks: Marks, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, dk, begin, n): word spans of different texts that smaller ids hold too."""
+    rows = scanned(plain, firsts, marks, anchor_rows(window, gram), "a long")
     often = cut(rows.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
-    shares = max(1, -(-often.count() // FILTER_KEYS))
-    held = None
+    many = often.count()
+    shares = max(1, -(-many // FILTER_KEYS))
+    found = None
     for k in range(shares):
         # a window's anchor falls in one share, so the passes divide the windows
         part = often if shares == 1 else often.where(F.expr(f"cast(cast(a as decimal(38,0)) + if(a < 0, 18446744073709551616, 0) as decimal(38,0)) % {shares}") == k)
-        bits = spark.sparkContext.broadcast(anchor_filter(part))
-        more = cut(held_runs(firsts, bits, window, gram, k, shares))
-        held = more if held is None else held.unionByName(more)
-    windows = window_rows(held, window)
-    # written, so that the join below reads two plain exchanges and a hot window can be split
-    least = cut(windows.groupBy("w").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("most")).where("ref < most").select("w", "ref"))
-    matched = windows.join(least, "w").select("doc_id", "tk", "begin", "ref", "at")
-    found = cut(passages(held, matched, window))
-    # shards of about REFERENCE reference words; streams salted into pieces of about STREAM words
-    total = found.where("doc_id = ref").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    shards = max(1, -(-total // REFERENCE))
-    found = found.withColumn("shard", F.pmod(F.xxhash64("ref"), F.lit(shards)).cast("long"))
-    size = found.where("doc_id <> ref").groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(STREAM)).cast("int").alias("pieces"))
-    dealt = found.join(size, "shard")
-    piece = F.pmod(F.xxhash64("doc_id", "tk", "begin"), F.col("pieces")).cast("int")
-    dealt = dealt.withColumn("piece", F.explode(F.when(F.col("doc_id") == F.col("ref"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(piece))))
-    return dealt.select("shard", "piece", "doc_id", "tk", "ref", "begin", "words").groupBy("shard", "piece").applyInPandas(explain(window), "doc_id long, tk long, begin long, end long")
-
-
-def marked_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(profile with the id of the first copy, spans of first copies)."""
-    ship(docs.sparkSession)
-    plain = keyed(docs)
-    told = cut(profile(plain))
-    first = told.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    told = cut(told.join(first, "digest", "left"))
-    later = cut(told.where("doc_id > first").select("doc_id", "tk").distinct())
-    if later.count() <= BROADCAST_IDS:
-        later = F.broadcast(later)
-    return told, repeated_spans(plain.where("doc_id is not null").join(later, ["doc_id", "tk"], "left_anti"), window, gram)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, tk): tk tells rows of one id but different texts apart."""
-    return texts(docs).withColumn("tk", F.xxhash64("text"))
+        known = Marks(part.select(F.col("a").alias("k")), -(-many // shares))
+        more = written(scanned(plain, firsts, marks, segment_rows(window, gram, known, k, shares), "doc_id long, " + ddl(SEGMENT)))
+        found = more if found is None else found.unionByName(more)
+    total = found.count()
+    # equal segments once, with their smallest id
+    unique = written(found.groupBy("a", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"), F.first("words").alias("words")))
+    size = cut(unique.groupBy("a").agg(F.count("*").alias("many")).where(f"many > {SPLIT}"))
+    words = unique.agg(F.coalesce(F.sum(F.lit(window + 4)), F.lit(0)).alias("n")).first().n
+    shards = max(1, -(-words // REFERENCE))
+    few = unique.join(size, "a", "left_anti").select("a", "g", "first", "words", F.pmod(F.xxhash64("a"), F.lit(shards)).alias("shard"))
+    spans = few.groupBy("shard").applyInArrow(explain(window), "a long, g binary, " + ddl(SPAN))
+    # windows of anchors with very many segments
+    hot = written(windows_of(unique.join(size, "a", "left_semi"), window))
+    least = cut(hot.groupBy("w").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("n")).where("least < most").select("w", "least", "n"))
+    spans = spans.unionByName(join_lowest(hot, least, "w", hot.count()).where("least < first").select("a", "g", "at", F.lit(window).alias("n")))
+    told = cut(spans.groupBy("a", "g").agg(F.collect_list(F.struct("at", "n")).alias("spans")))  # the words of one segment at most
+    # what each occurrence loses: all of it in a later document, the spans in the first
+    sized = written(unique.join(told, ["a", "g"], "left").where("times > 1 or spans is not null").select(F.struct("a", "g").alias("s"), "first", "spans", F.col("times").alias("n")))
+    places = found.select(F.struct("a", "g").alias("s"), "doc_id", "dk", "begin", F.col("n").alias("size"))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("size").alias("n")))
+    lost = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("spans"))
+    return join_lowest(places, sized, "s", total).select("doc_id", "dk", "begin", F.explode(lost).alias("x")).select("doc_id", "dk", (F.col("begin") + F.col("x.at")).alias("begin"), F.col("x.n").alias("n"))
 
 
 def _kept(words: list[bytes], spans) -> list[bytes]:
     gone = np.zeros(len(words) + 1, np.int64)
-    for x in spans:
-        gone[x["begin"]] += 1
-        gone[x["end"]] -= 1
+    for begin, n in spans:
+        gone[begin] += 1
+        gone[begin + n] -= 1
     return [w for w, g in zip(words, np.cumsum(gone)) if g == 0]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every document."""
-    told, spans = marked_documents(docs, window, gram)
-    lists = cut(spans.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))  # the words of one document at most
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for text, spans_ in zip(pdf["text"], pdf["spans"]):
+    ship(docs.sparkSession)
+    plain = texts(docs)
+    told = written(profile(plain))
+    sized = cut(told.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("dk").alias("dk"), F.count("*").alias("n")).where("n > 1"))
+    firsts, marks = first_texts(plain, sized)
+    lists = repeated_spans(plain, firsts, marks, window, gram).groupBy("doc_id", "dk").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))  # the words of one document at most
+    lists = written(lists)
+    # documents that lose words are read again, the others end with their digest
+    known = Marks(lists.select(F.col("doc_id").bitwiseXOR(F.col("dk")).alias("k")), lists.count())
+    made = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
+
+    def asked(batches):
+        for part in slices(batches):
+            dk = _key([sha(split(t)) for t in part.column("text").to_pylist()])
+            yield record({"dk": pa.int64()}, [dk], {k: part.column(k) for k in ("doc_id", "text")}).filter(pa.array(known.hits(dk ^ part.column("doc_id").to_numpy())))
+
+    def removed(batches):
+        for part in slices(batches):
+            rows = []
+            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
                 words = split(text)
-                left = _kept(words, spans_)
-                out.append((len(words), len(words) - len(left), sha(left)))
-            n, r, k = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": list(n), "n_removed": list(r), "kept_sha256": list(k)})
-
-    size = lists.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0)).alias("n")).first().n
-    few = F.broadcast(lists) if size <= BROADCAST_IDS else lists
-    cutted = keyed(docs).join(few, ["doc_id", "tk"]).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    copied = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
-    whole = told.join(lists.select("doc_id", "tk"), ["doc_id", "tk"], "left_anti").select(
+                left = _kept(words, [(x["begin"], x["n"]) for x in spans])
+                rows.append((len(words), len(words) - len(left), sha(left).hex()))
+            yield record(made, list(zip(*rows)) or [[]] * 3, {"doc_id": part.column("doc_id")})
+
+    again = plain.where("doc_id is not null").mapInArrow(asked, "doc_id long, text string, dk long")
+    cutted = again.join(lists, ["doc_id", "dk"]).select("doc_id", "text", "spans").mapInArrow(removed, "doc_id long, " + ddl(made))
+    rest = told.join(lists.select("doc_id", "dk"), ["doc_id", "dk"], "left_anti")
+    copies = join_lowest(told.where("doc_id is not null"), sized.drop("dk"), "digest", told.count()).where((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window))
+    copies = cut(copies.select("doc_id", "digest", F.lit(True).alias("copied")).distinct())
+    out = rest.join(copies, ["doc_id", "digest"], "left")
+    whole = out.select(
         "doc_id", "n_words",
-        F.when(copied, F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-        F.when(copied, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("digest")).alias("kept_sha256"),
+        F.when(F.col("copied"), F.col("n_words")).otherwise(F.lit(0).cast("long")).alias("n_removed"),
+        F.when(F.col("copied"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
     )
     return whole.unionByName(cutted)
