@@ -197,7 +197,7 @@ def test_repeated_passages(spark, monkeypatch):
     docs[80], docs[81] = docs[3], docs[3]
     docs |= {100 + k: t for k, t in enumerate(ODD + ODD)}
     want = brute_repeats(docs)
-    for limits in ({}, {"REFERENCE": 40, "STREAM": 100, "FILTER_KEYS": 20, "BROADCAST_IDS": 0}):
+    for limits in ({}, {"REFERENCE": 40, "FILTER_KEYS": 20}, {"SPLIT": 1}):
         for k, v in limits.items():
             monkeypatch.setattr(substring_dedup, k, v)
         out = substring_dedup.remove_repeats(table(spark, docs).repartition(3)).collect()
@@ -326,8 +326,8 @@ def test_exact_top_k(spark):
             assert [got[q][n] for n in range(1, 6)] == [(k, -s) for s, k in want]
     few = pivot_topk.top_k(whole.where("vec_id < 3"), whole.where("vec_id = 0")).collect()
     assert len(few) == 2 and pivot_topk.top_k(whole.limit(0), whole.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        pivot_topk.top_k(whole.unionByName(spark.createDataFrame([(5000, [1])], "vec_id long, v array<long>")), whole)
+    other = whole.unionByName(spark.createDataFrame([(5000, [1]), (50, [2])], "vec_id long, v array<long>"))
+    assert {(r.query_id, r.vec_id) for r in pivot_topk.top_k(other, other.where("vec_id in (50, 5000)")).collect()} == {(50, k) for k in got[50] and [v for v, _ in got[50].values()]}
 
 
 # ---- 2 ----
