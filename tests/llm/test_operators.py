@@ -360,19 +360,59 @@ def test_shapes_and_context():
 # ---- 4 ----
 
 
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+
+
+def wrapped(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
 def test_licences_and_inheritance(spark):
-    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    known = licenses.TEMPLATES
+    mit, gpl, mit_grant, mit_whole = known["MIT"][0], known["GPL-3.0"][2], known["MIT"][3], known["MIT"][4]
+    mit_file = f"MIT License\n\nCopyright (c) 2020 Someone\n\n{wrapped(mit_grant, 70)}\n\n{wrapped(mit_whole[len(mit_grant) + 1:], 70)}\n\n{WARRANTY}\n"
+    apache_file = f"{' ' * 30}Apache License\n{' ' * 27}Version 2.0, January 2004\n{' ' * 24}http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n" + "more of it and of other words\n" * 300
+    gpl_file = "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this document.\n" + "sentence about freedom\n" * 300
+    bsd3 = wrapped(known["BSD-3-Clause"][2], 60, "// ")
+    gpl_header = "#!/bin/sh\n# a tool\n#\n" + wrapped(known["GPL-2.0"][1], 50, "# ") + "\n#\necho hello"
     rows = [
         (1, "a/LICENSE", mit), (2, "a/x.txt", "no notice"), (3, "a/b/c/y.txt", "text\n" + gpl + "\nmore"), (4, "a/b/LICENSE", gpl), (5, "a/b/c/z.txt", None), (6, "d/e.txt", "licence to chill"),
         (7, None, mit), (8, "top.txt", ""), (9, "a/x.txt", "no notice"), (10, "ab/x.txt", "no notice"),
+        (20, "m/LICENSE", mit_file), (21, "m/1/2/3/deep.c", "int x;"), (22, "m/1/COPYING", gpl_file), (23, "m/1/2/y.c", "int y;"), (24, "ap/LICENSE.txt", apache_file), (25, "ap/a/b.c", " \n"),
+        (26, "h/a.c", "// SPDX-License-Identifier: MIT\nint main;"), (27, "h/b.py", "# SPDX-License-Identifier: GPL-3.0-or-later"), (28, "h/c.sh", gpl_header), (29, "h/d.cc", bsd3 + "\nint x;"),
+        (30, "h/e.txt", "we thank you for the license you have to use all of it " * 2000), (31, "m/LICENSE", "unlike any licence"), (32, "", mit), (33, "h/a.c", "// SPDX-License-Identifier: MIT\nint main;"), (None, "h/f.c", "/*\n * " + known["MPL-2.0"][2] + "\n */"),
     ]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, path string, text string, license string")
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, path string, text string, license string, kind int")
     got = {x.doc_id: (x.own_license, x.license, x.origin) for x in licenses.scan(df).collect()}
     assert got == {
         1: ("MIT", "MIT", "own"), 2: (None, "MIT", "inherited"), 3: ("GPL-3.0", "GPL-3.0", "own"), 4: ("GPL-3.0", "GPL-3.0", "own"), 5: (None, "GPL-3.0", "inherited"),
         6: (None, None, None), 7: ("MIT", "MIT", "own"), 8: (None, None, None), 9: (None, "MIT", "inherited"), 10: (None, None, None),
+        20: ("MIT", "MIT", "own"), 21: (None, "GPL-3.0", "inherited"), 22: ("GPL-3.0", "GPL-3.0", "own"), 23: (None, "GPL-3.0", "inherited"), 24: ("Apache-2.0", "Apache-2.0", "own"), 25: (None, "Apache-2.0", "inherited"),
+        26: ("MIT", "MIT", "own"), 27: ("GPL-3.0", "GPL-3.0", "own"), 28: ("GPL-2.0", "GPL-2.0", "own"), 29: ("BSD-3-Clause", "BSD-3-Clause", "own"), 30: (None, None, None), 31: (None, "MIT", "inherited"), 32: ("MIT", "MIT", "own"),
+        33: ("MIT", "MIT", "own"), None: ("MPL-2.0", "MPL-2.0", "own"),
     }
     assert licenses.scan(df.limit(0)).count() == 0
+    plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_what_is_passed_over_cannot_match(spark):
+    assert licenses.check_templates() < licenses.LEAST
+    r = random.Random(12)
+    vocabulary = [w for w in licenses.IDF] + ["unknown%d" % k for k in range(40)]
+    some_lines = []
+    for _, t in licenses.lines():
+        w = t.split()
+        for share in (0.2, 0.5, 0.7, 0.9):
+            some_lines.append(" ".join(x if r.random() < share else r.choice(vocabulary) for x in w) + " " + " ".join(r.choices(vocabulary, k=r.randint(0, len(w)))))
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(some_lines)], "n long, line string").withColumn("key", licenses.digest(F.col("line")))
+    hits = {x.key for x in licenses.score_lines(df.select("key", "line")).collect()}
+    kept = {x.key for x in df.where(licenses.may_match(F.col("line"))).collect()}
+    content = set(licenses.IDF) - set(licenses.STOP)
+    assert hits and hits <= kept and all(content & set(licenses.terms_of(x.line)) for x in df.collect() if x.key in hits)
 
 
 # ---- 6 ----
