@@ -66,6 +66,7 @@ class Bpe:
         self.pieces_kept: dict[str, tuple[str, str]] = {}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept: dict[str, tuple[str, str]] = {}
+        self.counts: dict[str, int] = {}
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-token, merged by rank and then by position.
@@ -145,6 +146,24 @@ class Bpe:
             parts.append(made if made is not None else self._word(c))
         return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
+    def count(self, text: str) -> int:
+        """The number of ids of a text; counts of words are kept like the words."""
+        if self.split_special and "<|" in text:
+            coded = self.coded(text)[0]
+            return coded.count(" ") + 1 if coded else 0
+        counts, total = self.counts, 0
+        for c in _CHUNKS.findall(text):
+            n = counts.get(c)
+            if n is None:
+                made = self._word(c)[0]
+                n = made.count(" ") + 1 if made else 0
+                if len(c) <= 48:
+                    if len(counts) >= WORDS_KEPT:
+                        counts.clear()
+                    counts[c] = n
+            total += n
+        return total
+
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.coded(text)[0].split()]
 

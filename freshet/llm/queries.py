@@ -55,4 +55,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pivot_topk, op2_quality, op3_decontamination, op4_licenses, op5_bpe, op6_token_counts, op7_language_id, op8_simhash_dedup, op9_pii, op10_substring_dedup)}
 
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE, "op6_token_counts": token_counts.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE}

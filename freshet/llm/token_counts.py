@@ -2,39 +2,100 @@
 
 A change feed of signed rows (insert: +n, delete: -n, revise: new - old) is added up by
 source, language and tokenizer version; totals are the sum of all committed batches.
+Versions are public tokenizers: vocabulary files, counted with this package's byte-pair
+encoder (.json) or with tiktoken (.tiktoken).
 
 Commits are idempotent. A batch is first written aside, then renamed to its place in one
-step of the shared file system. If its place is taken the batch was committed before and
-the new copy is dropped, so a batch that is sent again after a crash counts once. A batch
-that was never renamed is not seen.
+step that fails if the place is taken, so of two writers one succeeds and a batch that is
+sent again counts once. A batch that was never renamed is not seen. ``compact`` adds up
+what is committed into a snapshot that also lists its batches, published by the same kind
+of rename; totals read the newest snapshot and the batches it doesn't list.
 
-Scale. Each batch is one map-side aggregation: what is shuffled and stored is a row for
-each (source, language, version), however many documents change. Nothing is collected.
+Scale. Texts are read once, without a shuffle; each batch is one map-side aggregation:
+what is shuffled and stored is a row for each (source, language, version), however many
+documents change. Nothing is collected but names of batches since the last snapshot.
 
 Edge cases: null text counts no tokens; null source or lang form groups of their own;
-empty batches commit as empty; repeated rows count each time; other columns are ignored.
+empty batches commit as empty; repeated rows count each time, rows without doc_id count
+like others; very long texts are counted whole; other columns are ignored; groups whose
+documents are all gone disappear from the totals.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import uuid
 
+import pyarrow as pa
+import regex
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import checkpoint_root
+from freshet.llm import bpe
+from freshet.llm.common import checkpoint_root, map_texts, ship, texts, written
 
 KEYS = ["source", "lang", "version"]
-#: Tokenizer versions: pattern of a token.
-VERSIONS = {"words-v1": "[^ \\t-\\r]+", "pieces-v1": "[a-z]+|[0-9]|[^a-z0-9 \\t-\\r]"}
+#: Files of the query's tokenizer versions.
+VERSIONS = ["word_bpe_49k.json", "byte_bpe_50k.tiktoken"]
 _TOTALS = "source string, lang string, version string, docs long, tokens long"
 
 
-def counted(docs: DataFrame, versions: dict[str, str] | None = None) -> DataFrame:
+class Ranks:
+    """Counts the tokens of a byte-level vocabulary given as ranks; keeps the counts of pieces it met."""
+
+    KEPT = 200_000
+
+    def __init__(self, spec: str, pattern: str):
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in spec.splitlines() if line.strip())}
+        self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pieces, self.kept = regex.compile(pattern), {}
+
+    def count(self, text: str) -> int:
+        kept, n = self.kept, 0
+        for p in self.pieces.findall(text):
+            k = kept.get(p)
+            if k is None:
+                k = len(self.encoding.encode_ordinary(p))
+                if len(p) <= 32:
+                    if len(kept) >= self.KEPT:
+                        kept.clear()
+                    kept[p] = k
+            n += k
+        return n
+
+
+_MADE: dict[str, object] = {}
+
+
+def counter(name: str, spec: str, pattern: str):
+    """The counting function of a version, made once for each Python worker."""
+    key = f"{name}:{hashlib.sha256((pattern + spec).encode()).hexdigest()}"
+    if key not in _MADE:
+        _MADE[key] = Ranks(spec, pattern) if name.endswith(".tiktoken") else bpe.Bpe(spec)
+    return _MADE[key].count
+
+
+def counted(docs: DataFrame, versions: list[str] | None = None) -> DataFrame:
     """(doc_id, source, lang, version, n_tokens): a row for each document and tokenizer."""
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    each = F.array(*[F.struct(F.lit(k).alias("version"), F.regexp_count(text, F.lit(p)).cast("long").alias("n_tokens")) for k, p in (versions or VERSIONS).items()])
-    return docs.select("doc_id", "source", "lang", F.inline(each))
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    ship(spark)
+    names = VERSIONS if versions is None else versions
+    specs = spark.sparkContext.broadcast([(n, bpe.read_spec(public_tokenizers.path(n)), public_tokenizers.PATTERN) for n in names])  # vocabulary files
+    fields = {f"n{k}": pa.int64() for k in range(len(names))}
+
+    def start():
+        counts = [counter(*s) for s in specs.value]
+        return lambda column: [[c(t) for t in column] for c in counts]
+
+    made = map_texts(texts(docs, "source", "lang"), start, fields, "doc_id", "source", "lang")
+    each = F.array(*[F.struct(F.lit(n).alias("version"), F.col(f"n{k}").alias("n_tokens")) for k, n in enumerate(names)])
+    return made.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.inline(each))
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -50,6 +111,10 @@ def revisions(counts: DataFrame, new: str = "new_tokens") -> DataFrame:
     return counts.select(*KEYS, F.lit(0).cast("long").alias("docs"), (F.col(new) - F.col("n_tokens")).alias("tokens"))
 
 
+def added(changes: DataFrame) -> DataFrame:
+    return changes.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
+
+
 class Rollup:
     """Additive totals under one folder of a shared file system."""
 
@@ -61,58 +126,94 @@ class Rollup:
         p = self._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, kind: str) -> list[str]:
+        top, fs = self._at(self.path)
+        if not fs.exists(top):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(top)]
+        return sorted(n[len(kind) + 1 :] for n in names if n.startswith(f"{kind}="))
+
+    def _publish(self, aside: str, place: str) -> bool:
+        """Rename a folder to a place that must be free; False if it is taken."""
+        (a, fs), (b, _) = self._at(aside), self._at(place)
+        a, b = fs.makeQualified(a), fs.makeQualified(b)
+        fs.mkdirs(b.getParent())
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(a, b, none)
+            return True
+        except Py4JJavaError as e:
+            if not fs.exists(b):
+                raise
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            fs.delete(a, True)
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed rows; False if it had been committed before."""
-        place, fs = self._at(f"{self.path}/batch={batch}")
-        if fs.exists(place):
+        if batch in self.batches():
             return False
         aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
-        changes.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens")).write.parquet(aside)
-        made, _ = self._at(aside)
-        fs.mkdirs(place.getParent())
-        done = not fs.exists(place) and fs.rename(made, place)
-        fs.delete(made, True)
-        return bool(done)
+        added(changes).write.parquet(aside)
+        return self._publish(aside, f"{self.path}/batch={batch}")
+
+    def _listed(self) -> tuple[str | None, set[str]]:
+        """The newest snapshot and the batches that it holds."""
+        names = self._names("snapshot")
+        if not names:
+            return None, set()
+        place = f"{self.path}/snapshot={names[-1]}"
+        return place, {r.batch for r in self.spark.read.schema("batch string").parquet(f"{place}/batches").collect()}
 
     def batches(self) -> list[str]:
-        top, fs = self._at(self.path)
-        if not fs.exists(top):
-            return []
-        return sorted(s.getPath().getName()[6:] for s in fs.listStatus(top) if s.getPath().getName().startswith("batch="))
+        return sorted({*self._listed()[1], *self._names("batch")})
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) of all committed batches; groups without documents go."""
-        names = self.batches()
-        if not names:
+        place, listed = self._listed()
+        paths = [f"{self.path}/batch={b}" for b in self._names("batch") if b not in listed]
+        paths += [f"{place}/totals"] if place else []
+        if not paths:
             return self.spark.createDataFrame([], _TOTALS)
-        rows = self.spark.read.schema(_TOTALS).parquet(*[f"{self.path}/batch={b}" for b in names])
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
+        return added(self.spark.read.schema(_TOTALS).parquet(*paths)).where("docs <> 0 or tokens <> 0")
+
+    def compact(self) -> bool:
+        """Put all committed batches in one snapshot; False if another compaction came first."""
+        number = int((self._names("snapshot") or ["0"])[-1]) + 1
+        names, aside = self.batches(), f"{self.path}/_aside/{uuid.uuid4().hex}"
+        if not names:
+            return False
+        self.totals().write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame([(b,) for b in names], "batch string").coalesce(1).write.parquet(f"{aside}/batches")
+        done = self._publish(aside, f"{self.path}/snapshot={number:09d}")
+        if done:
+            for b in names:  # listed now, so no longer read
+                place, fs = self._at(f"{self.path}/batch={b}")
+                fs.delete(place, True)
+        return done
 
 
 def replay(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Totals after three batches over docs, the second sent twice.
+    """Token counts of all documents after a feed of batches, one sent twice, with a compaction between.
 
-    All documents are inserted; ids that leave 3 modulo 10 are deleted; for ids that leave
-    7 the words are recounted without those that hold no letter or digit.
+    At first documents whose id leaves 3 modulo 10 are missing and those whose id leaves 7
+    stand with counts of an older text, one token longer. Then the missing come and those
+    that leave 1 go; at last those that leave 7 are revised and those that leave 1 come
+    back. The totals are those of the whole corpus.
     """
+    counts = written(counted(docs))
+    left = F.coalesce(F.pmod("doc_id", F.lit(10)), F.lit(0))
     store = Rollup(spark, f"{checkpoint_root(spark)}/token-rollup-{uuid.uuid4().hex}")
-    store.commit("0001", inserts(counted(docs)))
-    gone = deletes(counted(docs.where("doc_id % 10 = 3")))
-    store.commit("0002", gone)
-    store.commit("0002", gone)
-    again = docs.where("doc_id % 10 = 7")
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    new = again.select("doc_id", "source", "lang", F.lit("words-v1").alias("version"), F.regexp_count(text, F.lit(VERSIONS["words-v1"])).cast("long").alias("n_tokens"), F.regexp_count(text, F.lit("[^ \\t-\\r]*[a-z0-9][^ \\t-\\r]*")).cast("long").alias("new_tokens"))
-    store.commit("0003", revisions(new))
+    older = F.when(left == 7, F.col("n_tokens") + 1).otherwise(F.col("n_tokens"))
+    store.commit("0001", inserts(counts.where(left != 3).withColumn("n_tokens", older)))
+    change = inserts(counts.where(left == 3)).unionByName(deletes(counts.where(left == 1)))
+    store.commit("0002", change)
+    store.commit("0002", change)
+    store.compact()
+    store.commit("0002", change)
+    revised = revisions(counts.where(left == 7).select(*KEYS, (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("new_tokens")))
+    store.commit("0003", revised.unionByName(inserts(counts.where(left == 1))))
     return store.totals()
-
-
-ORACLE = r"""
-WITH t AS (SELECT doc_id, source, lang, lower(coalesce(text, '')) AS text FROM documents),
-c AS (
-  SELECT doc_id, source, lang, 'words-v1' AS version,
-    CASE WHEN doc_id % 10 = 7 THEN len(regexp_extract_all(text, '[^ \t-\r]*[a-z0-9][^ \t-\r]*')) ELSE len(regexp_extract_all(text, '[^ \t-\r]+')) END AS n FROM t
-  UNION ALL
-  SELECT doc_id, source, lang, 'pieces-v1', len(regexp_extract_all(text, '[a-z]+|[0-9]|[^a-z0-9 \t-\r]')) FROM t)
-SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM c WHERE doc_id % 10 <> 3 GROUP BY ALL
-"""
