@@ -31,21 +31,33 @@ def text(expression: str) -> str:
 
 
 class Program:
-    """Lines grouped into levels, each one projection."""
+    """Lines grouped into levels, each one projection.
+
+    All that can be made with windows along one axis is made before the other axis is
+    turned to, so that a step over a grid needs one exchange for each axis.
+    """
 
     def __init__(self, *lines: str):
         self.lines = [tuple(x.strip() for x in line.split("=", 1)) for part in lines for line in ([part] if isinstance(part, str) else part)]
+        names = [name for name, _ in self.lines]
+        if len(set(names)) < len(names):
+            raise ValueError(f"{next(n for n in names if names.count(n) > 1)} is set twice")
+        earlier = {name: {x for x in _NAME.findall(expr) if x in names[:n]} for n, (name, expr) in enumerate(self.lines)}
+        axes = {name: {m[1] for m in _NEAR.finditer(expr)} for name, expr in self.lines}
         self.levels: list[list[tuple[str, str]]] = []
-        made: dict[str, int] = {}
-        for name, expr in self.lines:
-            if name in made:
-                raise ValueError(f"{name} is set twice")
-            level = max((made[x] + 1 for x in _NAME.findall(expr) if x in made), default=0)
-            # windows start a projection of their own after what they read
-            made[name] = level
-            while len(self.levels) <= level:
-                self.levels.append([])
-            self.levels[level].append((name, expr))
+        left, made, axis = list(self.lines), set(), "x"
+        idle = 0
+        while left:
+            ready = [x for x in left if earlier[x[0]] <= made and axes[x[0]] <= {axis}]
+            if not ready and idle:  # a line with windows along both axes
+                ready = [x for x in left if earlier[x[0]] <= made]
+            if ready:
+                self.levels.append(ready)
+                made |= {name for name, _ in ready}
+                left = [x for x in left if x[0] not in made]
+                idle = 0
+            else:
+                axis, idle = "y" if axis == "x" else "x", 1
 
     def apply(self, df: DataFrame) -> DataFrame:
         for level in self.levels:

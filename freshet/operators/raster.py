@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NODATA = -9999.0
-#: Fixed roughness by land-cover code.
+#: Roughness by land-cover code.
 MANNING = {
-    11: 0.025, 12: 0.022, 21: 0.0404, 22: 0.0678, 23: 0.0678, 24: 0.0404, 31: 0.0113, 41: 0.36, 42: 0.32, 43: 0.40,
-    51: 0.40, 52: 0.40, 71: 0.368, 72: 0.368, 73: 0.2, 74: 0.2, 81: 0.325, 82: 0.16, 90: 0.086, 95: 0.1825,
+    11: 0.025, 12: 0.022, 21: 0.060, 22: 0.100, 23: 0.120, 24: 0.150, 31: 0.022, 41: 0.120, 42: 0.140, 43: 0.130,
+    51: 0.080, 52: 0.080, 71: 0.040, 72: 0.040, 73: 0.040, 74: 0.040, 81: 0.035, 82: 0.040, 90: 0.110, 95: 0.080,
 }
 DEFAULT_MANNING = 0.035
 

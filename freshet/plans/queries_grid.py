@@ -153,7 +153,10 @@ def landcover(s):
     return s.range(4096).select((F.col("id") / 64).cast("int").alias("i"), (F.col("id") % 64).cast("int").alias("j"), F.element_at(codes, ((F.floor(F.col("id") / 64) * 3 + F.col("id") % 64 * 7) % 22 + 1).cast("int")).alias("code"))
 
 
-_LC = f"lc AS (SELECT CAST(range // 64 AS INT) AS i, CAST(range % 64 AS INT) AS j, ([{', '.join(map(str, [*sorted(raster.MANNING), 0, 16]))}])[((range // 64) * 3 + (range % 64) * 7) % 22 + 1] AS code FROM range(4096)), mt(c, m) AS (VALUES {', '.join(f'({c}, {D(m)})' for c, m in raster.MANNING.items())})"
+#: Fixed values, written out for the twins: they must not follow the library's table.
+_CODES = "11, 12, 21, 22, 23, 24, 31, 41, 42, 43, 51, 52, 71, 72, 73, 74, 81, 82, 90, 95"
+_ROUGH = "(11, 0.025), (12, 0.022), (21, 0.06), (22, 0.1), (23, 0.12), (24, 0.15), (31, 0.022), (41, 0.12), (42, 0.14), (43, 0.13), (51, 0.08), (52, 0.08), (71, 0.04), (72, 0.04), (73, 0.04), (74, 0.04), (81, 0.035), (82, 0.04), (90, 0.11), (95, 0.08)"
+_LC = f"lc AS (SELECT CAST(range // 64 AS INT) AS i, CAST(range % 64 AS INT) AS j, ([{_CODES}, 0, 16])[((range // 64) * 3 + (range % 64) * 7) % 22 + 1] AS code FROM range(4096)), mt AS (SELECT c, CAST(m AS DOUBLE) AS m FROM (VALUES {_ROUGH}) AS v(c, m))"
 add("d6_manning_table", lambda s, d: s.createDataFrame(list(raster.MANNING.items()), "code int, m double"), f"WITH {_LC} SELECT c AS code, m FROM mt")
 add("d7_landcover_bands", lambda s, d: raster.landcover_bands(landcover(s).select("i", "j", (F.col("code") + (F.col("i") % 5 - 2) * F.lit(0.25)).alias("code")), s),
     f"WITH {_LC}, x AS (SELECT i, j, code + (i % 5 - 2) * {D(0.25)} AS code FROM lc), b AS (SELECT i, j, max_by(m, c) AS m FROM x JOIN mt ON abs(code - c) <= 0.5 GROUP BY 1, 2) SELECT x.i, x.j, coalesce(m, {D(0.035)}) AS nm, m IS NOT NULL AS mapped FROM x LEFT JOIN b ON x.i = b.i AND x.j = b.j")

@@ -125,12 +125,12 @@ add("s17_mesh_cache", mesh_cache, f"WITH {fx.CELL}, {_NUM} SELECT count(*) AS n,
 
 
 def rain_means(spark, sf_dir: str):
-    e = fx.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    e = fx.table(spark, sf_dir, "orders")
     f = e.select(((F.col("o_custkey") % 24) * F.lit(3600.0)).alias("t"), (F.lit(270.0) + F.col("o_orderkey") % 20).alias("lon"), (F.lit(20.0) + F.col("o_orderkey") % 15).alias("lat"), (F.col("o_custkey") % 13).cast("double").alias("mm"))
     return shown(csv.rain_means(f, -88.0, -75.0, 22.0, 31.0), "v", keys=("t",))
 
 
-add("s10_rain_means", rain_means, f"WITH f AS (SELECT (o_custkey % 24) * {D(3600)} AS t, 270 + o_orderkey % 20 AS lon, 20 + o_orderkey % 15 AS lat, CAST(o_custkey % 13 AS DOUBLE) AS mm FROM orders WHERE o_orderkey % 7 = 0), m AS (SELECT t, avg(mm) AS v FROM f WHERE CASE WHEN lon > 180 THEN lon - 360 ELSE lon END BETWEEN -88 AND -75 AND lat BETWEEN 22 AND 31 GROUP BY t) SELECT t, {rounded('v')[0]} FROM m")
+add("s10_rain_means", rain_means, f"WITH f AS (SELECT (o_custkey % 24) * {D(3600)} AS t, 270 + o_orderkey % 20 AS lon, 20 + o_orderkey % 15 AS lat, CAST(o_custkey % 13 AS DOUBLE) AS mm FROM orders), m AS (SELECT t, avg(mm) AS v FROM f WHERE CASE WHEN lon > 180 THEN lon - 360 ELSE lon END BETWEEN -88 AND -75 AND lat BETWEEN 22 AND 31 GROUP BY t) SELECT t, {rounded('v')[0]} FROM m")
 
 # ---- steps, gathers and meshes that combine other rows ----
 

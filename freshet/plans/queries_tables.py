@@ -42,11 +42,10 @@ add("t4_common_grid", lambda s, d: shown(temporal.regrid(fx.stage(s, d), -86400.
 def shuffled(s, d):
     """Stage rows with a scattered order of arrival, so that time goes back and forth."""
     us = fx.micros()
-    e = fx.table(s, d, "events").where("event_id % 40 = 0")
-    return e.select((F.col("event_id") * 7919 % 1000003).alias("seq"), F.floor(us / F.lit(3600000000)).cast("double").alias("t"), F.col("value").alias("v"))
+    return fx.table(s, d, "events").select((F.col("event_id") * 1103515245 % 2147483647).alias("seq"), F.floor(us / F.lit(3600000000)).cast("double").alias("t"), F.col("value").alias("v"))
 
 
-_SHUF = f"shuf AS (SELECT event_id * 7919 % 1000003 AS seq, CAST(floor((epoch_us(ts) - 1704067200000000) / {D(3600000000)}) AS DOUBLE) AS t, value AS v FROM events WHERE event_id % 40 = 0)"
+_SHUF = f"shuf AS (SELECT event_id * 1103515245 % 2147483647 AS seq, CAST(floor((epoch_us(ts) - 1704067200000000) / {D(3600000000)}) AS DOUBLE) AS t, value AS v FROM events)"
 add("t5_out_of_order", lambda s, d: temporal.out_of_order(shuffled(s, d)).select("seq", "t"), f"WITH {_SHUF}, p AS (SELECT *, lag(t) OVER (ORDER BY seq) AS pt FROM shuf) SELECT seq, t FROM p WHERE pt > t")
 add("t6_stable_sort", lambda s, d: temporal.stable_sort(shuffled(s, d)).select("seq", "t"), f"WITH {_SHUF} SELECT seq, t FROM shuf ORDER BY t, seq")
 add("s4_keep_last", lambda s, d: shown(temporal.keep_last(shuffled(s, d)), "v", keys=("t",)), f"WITH {_SHUF}, k AS (SELECT t, max_by(v, seq) AS v FROM shuf GROUP BY t) SELECT t, {rounded('v')[0]} FROM k")

@@ -94,3 +94,20 @@ def test_analytic_profiles():
     kin = [analytic.kinematic_depth(x, 22.04 / 3.6e6, 0.015, 0.12) for x in xs]
     band = [k for k, x in enumerate(xs) if 30 <= x <= 294]
     assert max(abs(hs[k] / kin[k] - 1) for k in band) < 0.05 and all(hs[k] < hs[k + 1] for k in band)
+
+
+def test_a_step_needs_one_exchange_for_each_axis(spark):
+    from freshet.functions import stencil
+    from freshet.functions.program import Program
+
+    rows = [(i, j, 0.1 * i, 1.0, 0.1, 0.0) for i in range(8) for j in range(8)]
+    df = spark.createDataFrame(rows, "i int, j int, b double, h double, hu double, hv double")
+    for options in ({}, {"bed": "audusse"}, {"bed": "slope", "scheme": "weno5", "riemann": "lf"}):
+        plan = Program(stencil.residual("1.0", "1.0", **options)).apply(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_roughness_by_land_cover():
+    from freshet.operators.raster import MANNING
+
+    assert (MANNING[22], MANNING[42], MANNING[90], MANNING[11], len(MANNING)) == (0.1, 0.14, 0.11, 0.025, 20)
