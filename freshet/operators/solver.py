@@ -4,7 +4,8 @@ The window stepper is one declarative plan for each step and checks the block st
 The block stepper advances K steps for one shuffle: the grid is cut into blocks with a
 halo as wide as K steps reach, each block is stepped in numpy with the boundary kinds
 filled inside, and the halo is dropped. A step's dt is fixed for K steps from the wave
-speeds before them (times 0.95, and K = 1 is exact).
+speeds before them (times 0.95, and K = 1 is exact); if the speeds after them no longer
+allow it, the superstep is undone and taken again with half of it.
 """
 
 from __future__ import annotations
@@ -22,25 +23,16 @@ from freshet.functions import flow, stencil
 from freshet.functions.program import Program
 from freshet.model import Config
 from freshet.operators import ghosts, measure
+from freshet.operators.forcings import Forcings, flow_step, forced_step
 
 G = 9.81
 STATE = "i int, j int, b double, h double, hu double, hv double, peak double"
 
 
 def window_step(cells: DataFrame, nx: int, ny: int, dx: float, dt: float, cfg: Config) -> DataFrame:
-    """One Euler step of (i, j, b, h, hu, hv[, peak]) as a declarative plan."""
-    if cfg.integrator != "euler":
-        raise ValueError("window_step is for the euler integrator")
-    lines = stencil.residual(repr(float(dx)), repr(float(dx)), scheme=cfg.recon, riemann=cfg.riemann, bed=cfg.bed, h_min=repr(cfg.h_min))
-    lines += stencil.euler(repr(float(dt)), repr(cfg.h_min), repr(float(cfg.rainfall)) if cfg.rainfall else None)
-    names = ("h1", "hu1", "hv1")
-    if cfg.manning is not None:
-        lines += flow.friction_step(repr(float(cfg.manning)), repr(float(dt)), cfg.quadratic_friction, repr(float(cfg.velocity_cap)) if math.isfinite(cfg.velocity_cap) else None, repr(cfg.h_min), "h1", "hu1", "hv1", ("hu2", "hv2"))
-        names = ("h1", "hu2", "hv2")
+    """One step of (i, j, b, h, hu, hv[, peak]) as a declarative plan, by either integrator."""
     keep = cells if "peak" in cells.columns else cells.withColumn("peak", F.col("h"))
-    padded = ghosts.fill(keep.select("i", "j", "b", "h", "hu", "hv", "peak"), nx, ny, cfg.width, **cfg.boundary)
-    out = Program(lines).apply(padded).where(F.col("i").between(0, nx - 1) & F.col("j").between(0, ny - 1))
-    return out.select("i", "j", "b", *[F.col(a).alias(c) for a, c in zip(names, ("h", "hu", "hv"))], F.greatest("peak", names[0]).alias("peak"))
+    return forced_step(keep.select("i", "j", "b", "h", "hu", "hv", "peak"), nx, ny, dx, dt, 0.0, cfg, Forcings())
 
 
 # ---- numpy twin of the same scheme, for blocks ----
@@ -211,18 +203,52 @@ class ShallowWater:
     executor rereads files. The driver holds t, the step count and one row of reductions.
     """
 
-    def __init__(self, spark: SparkSession, cells: DataFrame, nx: int, ny: int, dx: float, cfg: Config | None = None, inner: int = 1, side: int = 256, folder: str | None = None):
+    def __init__(
+        self, spark: SparkSession, cells: DataFrame, nx: int, ny: int, dx: float, cfg: Config | None = None, inner: int = 1, side: int = 256, folder: str | None = None,
+        forcings: Forcings | None = None, sampler: tuple[DataFrame, float] | None = None, frame_every: float | None = None,
+    ):
+        """sampler is (places (g, i, j), seconds): samples() has a row for each place and interval.
+        frame_every writes depth frames, as store.read_frames(spark, run.folder + "/frames") reads them.
+        """
         from freshet.sources.store import shared_folder
 
         self.spark, self.nx, self.ny, self.dx, self.cfg, self.inner, self.side = spark, nx, ny, dx, cfg or Config(), inner, side
-        self.t, self.steps = 0.0, 0
+        self.forcings, self.sampler, self.frame_every = forcings, sampler, frame_every
+        self.t, self.steps, self.sampled, self.framed = 0.0, 0, -1, -1
         self.folder = folder or f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-        self.cells = self._keep(cells.withColumn("peak", F.col("h")) if "peak" not in cells.columns else cells)
+        cells = cells.withColumn("peak", F.col("h")) if "peak" not in cells.columns else cells
+        if "ks" in cells.columns and "f0" not in cells.columns:
+            cells = cells.withColumn("f0", F.lit(0.0))
+        self.columns = [f.split()[0] for f in STATE.split(", ")]
+        self.columns += [c for c in cells.columns if c not in self.columns]
+        self.cells = self._keep(cells)
+        self._record()
 
     def _keep(self, cells: DataFrame) -> DataFrame:
-        path = f"{self.folder}/step={self.steps:09d}"
-        cells.select("i", "j", "b", "h", "hu", "hv", "peak").write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(STATE).parquet(path)
+        path = f"{self.folder}/state/{self.steps:09d}-{uuid.uuid4().hex[:8]}"  # a step that is taken again has its own
+        cells = cells.select(*self.columns)
+        cells.write.parquet(path)
+        return self.spark.read.schema(cells.schema).parquet(path)
+
+    def _record(self) -> None:
+        """Samples and frames that are due: one for each interval that began."""
+        from freshet.sources import store
+
+        if self.sampler:
+            places, every = self.sampler
+            due = math.floor((self.t + 1e-9) / every)
+            if due > self.sampled:
+                measure.sample(self.cells, places).withColumn("t", F.lit(self.t)).write.mode("overwrite").parquet(f"{self.folder}/samples/interval={due}")
+                self.sampled = due
+        if self.frame_every:
+            due = math.floor((self.t + 1e-9) / self.frame_every)
+            if due > self.framed:
+                store.append_frame(self.cells, f"{self.folder}/frames", due, self.t, "h")
+                self.framed = due
+
+    def samples(self) -> DataFrame:
+        """(g, h, u, v, eta, t) at the places of the sampler."""
+        return self.spark.read.parquet(f"{self.folder}/samples").drop("interval")
 
     def cfl_dt(self) -> float:
         row = measure.cfl_step(self.cells, self.dx, self.cfg.cfl, self.cfg.h_min, self.cfg.cfl_norm).first()
@@ -230,28 +256,42 @@ class ShallowWater:
             raise FloatingPointError(f"the wave speed at t = {self.t} isn't finite")
         return row.dt
 
+    def _by_blocks(self) -> bool:
+        return self.cfg.bed in ("srm", "audusse") and self.cfg.integrator == "euler" and self.forcings is None and len(self.columns) == 7
+
     def step(self, dt: float, n: int = 1) -> None:
         """n steps of dt, by blocks where the scheme allows, else by windows."""
-        if self.cfg.bed in ("srm", "audusse") and self.cfg.integrator == "euler":
+        if self._by_blocks():
             out = block_steps(self.cells, self.nx, self.ny, self.dx, dt, n, self.cfg, self.side)
         elif n == 1:
-            out = window_step(self.cells, self.nx, self.ny, self.dx, dt, self.cfg)
+            out = forced_step(self.cells, self.nx, self.ny, self.dx, dt, self.t, self.cfg, self.forcings or Forcings())
         else:
-            raise ValueError("several steps at once need a well-balanced euler scheme")
+            raise ValueError("several steps at once need a well-balanced euler scheme without forcings")
         self.t += n * dt
         self.steps += n
         self.cells = self._keep(out)
 
     def run(self, t_end: float, max_steps: int | None = None, callback: Callable | None = None) -> ShallowWater:
         """Advance to t_end; callback(run, steps) is called after each superstep."""
+        most = self.inner if self._by_blocks() else 1
+        allowed = None
         while self.t < t_end - 1e-12 and (max_steps is None or self.steps < max_steps):
-            dt = measure.rain_limit(self.cfl_dt(), self.cfg.rainfall, self.cfg.cfl, self.dx)
-            n = self.inner if max_steps is None else min(self.inner, max_steps - self.steps)
+            rate = self.cfg.rainfall + (self.forcings.rain_rate(self.t) if self.forcings else 0.0)
+            dt = measure.rain_limit(allowed or self.cfl_dt(), rate, self.cfg.cfl, self.dx)
+            n = most if max_steps is None else min(most, max_steps - self.steps)
             if n > 1:
                 dt *= 0.95
             dt = measure.next_step(dt, self.t, t_end, self.cfg.dt_min, self.cfg.dt_max)
             n = max(1, min(n, int((t_end - self.t) / dt)))
+            before = (self.t, self.steps, self.cells)
             self.step(dt, n)
+            allowed = self.cfl_dt()
+            while n > 1 and dt > allowed and dt / 2 > self.cfg.dt_min:  # a front got faster on the way
+                self.t, self.steps, self.cells = before
+                dt /= 2
+                self.step(dt, n)
+                allowed = self.cfl_dt()
+            self._record()
             if callback:
                 callback(self, self.steps)
         return self

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from freshet.functions import flow, stencil
 from freshet.functions.program import Chain, Program, rounded, text
+from freshet.model import Config
 from freshet.operators import ghosts
+from freshet.operators.forcings import Forcings, flow_step
+from freshet.operators.solver import ShallowWater
 from freshet.plans import fixtures as fx
 from freshet.plans.registry import FLAGSHIP, add, pointwise
 from pyspark.sql import functions as F
@@ -139,18 +142,7 @@ pointwise("x12_velocity_invariants", stencil.velocity_invariants(DX, DX), ["kin"
 pointwise("x12_sigma_sweep", ["sigma = 0.01 * (n % 7)"] + stencil.velocity_invariants(DX, DX) + stencil.sigma_sweep("0.5", DX, DX, "0.05"), ["sigma1"], where="i BETWEEN 2 AND 61 AND j BETWEEN 2 AND 61")
 
 # Three-stage step of third order, ghosts renewed at each stage
-_STAGES = ((0.0, 1.0), (0.75, 0.25), (1.0 / 3.0, 2.0 / 3.0))
-
-
-def rk3_step(df, nx: int, ny: int, dx: str, dt: str, kinds: dict, **options):
-    """SSP-RK3: each stage is a convex mix of the start and an Euler step of the last stage."""
-    start = df.select("i", "j", *[F.col(c).alias(f"{c}_0") for c in ("h", "hu", "hv")])
-    q = df
-    program = Program(stencil.residual(dx, dx, h_min=HM, **options))
-    for a, b in _STAGES:
-        r = program.apply(ghosts.fill(q.select("i", "j", "b", "h", "hu", "hv"), nx, ny, 4, **kinds)).where(text(_GRID)).join(start, ["i", "j"])
-        q = r.select("i", "j", "b", *[(F.lit(a) * F.col(f"{c}_0") + F.lit(b) * (F.col(c) + F.lit(float(dt)) * F.col(t))).alias(c) for c, t in (("h", "rh"), ("hu", "rhu"), ("hv", "rhv"))])
-    return q
+_STAGES = ((0.0, 1.0), (0.75, 0.25), (1.0 / 3.0, 2.0 / 3.0))  # written out for the twin
 
 
 def _rk3_sql() -> str:
@@ -161,10 +153,12 @@ def _rk3_sql() -> str:
         mix = ", ".join(f"CAST('{a!r}' AS DOUBLE) * s.{c} + CAST('{b!r}' AS DOUBLE) * (r.{c} + CAST('{DT}' AS DOUBLE) * r.{t}) AS {c}" for c, t in (("h", "rh"), ("hu", "rhu"), ("hv", "rhv")))
         out += f", st{k} AS (SELECT r.i, r.j, r.b, {mix} FROM res{k} r JOIN cell s ON r.i = s.i AND r.j = s.j)"
         last = f"st{k}"
-    return f"WITH {out} SELECT i, j, {', '.join(rounded('h', 'hu', 'hv'))} FROM st2"
+    dried = Program(flow.wet_dry(HM)).sql("st2")
+    return f"WITH {out}, dry AS (SELECT i, j, h1 AS h, hu1 AS hu, hv1 AS hv FROM ({dried}) AS z) SELECT i, j, {', '.join(rounded('h', 'hu', 'hv'))} FROM dry"
 
 
-add("x4_ssp_rk3_step", lambda spark, sf: rk3_step(fx.cell(spark, sf), fx.N, fx.N, DX, DT, _PAD, bed="audusse").select("i", "j", *[F.expr(x) for x in rounded("h", "hu", "hv")]), _rk3_sql())
+_RK3 = Config(bed="audusse", integrator="ssprk3", boundary=_PAD)
+add("x4_ssp_rk3_step", lambda spark, sf: flow_step(fx.cell(spark, sf).select("i", "j", "b", "h", "hu", "hv"), fx.N, fx.N, float(DX), float(DT), _RK3).select("i", "j", *[F.expr(x) for x in rounded("h", "hu", "hv")]), _rk3_sql())
 
 # Two steps, ghosts renewed between them
 _TWO = Chain(["i", "j", "b", "h", "hu", "hv"], (stencil.residual(DX, DX, h_min=HM) + stencil.euler(DT, HM), {"h": "h1", "hu": "hu1", "hv": "hv1"}))
@@ -203,6 +197,57 @@ _AFTER = Chain(
 add("x7_forcings_in_order", lambda spark, sf: _AFTER.apply(fx.cell(spark, sf).withColumn("peak", F.lit(0.1))).select("i", "j", *[F.expr(x) for x in rounded("h", "hu", "hv", "peak", digits=12)]),
     f"WITH {fx.CELL}, st AS (SELECT *, CAST('0.1' AS DOUBLE) AS peak FROM cell) SELECT i, j, {', '.join(rounded('h', 'hu', 'hv', 'peak', digits=12))} FROM ({_AFTER.sql('st')}) AS q")
 
+# A run with forcings: two steps by the driver's loop, with rain, roughness, sinks and limits that differ by cell
+_FORCED = Config(boundary=_PAD)
+_COLUMNS = {
+    "nm": "0.02 + 0.01 * (n % 5)", "infil": "0.0001 * (n % 5)", "ks": "0.000002 * (1 + n % 3)", "psi": "0.15 + 0.0 * n", "dth": "0.3 + 0.0 * n", "f_max": "0.05 * (n % 4)", "f0": "0.0 * n", "tau": "3600.0 * (n % 2)",
+    "h_clamp": "if(i % 4 = 0, 0.1 + 0.05 * (j % 5), NULL)", "h_target": "if(n % 3 = 0, 0.05 * (1 + n % 4), NULL)",
+}
+
+
+def forced_run(spark, sf_dir: str):
+    cells = fx.cell(spark, sf_dir)
+    cells = cells.select("i", "j", "b", "h", "hu", "hv", *[F.expr(text(x)).alias(c) for c, x in _COLUMNS.items()])
+    rain = spark.createDataFrame([(0.0, 36.0), (0.05, 72.0)], "t double, v double")
+    stage = spark.createDataFrame([(0.0, 0.5), (1.0, 1.5)], "t double, v double")
+    west = cells.where("i = 0").select("i", "j")
+    f = Forcings(rain=rain, stage=stage, stage_cells=west, sponge=(12, 0.8), cap=0.6)
+    run = ShallowWater(spark, cells, fx.N, fx.N, float(DX), _FORCED, forcings=f)
+    for _ in range(2):
+        run.step(float(DT))
+    return run.cells.select("i", "j", *[F.expr(x) for x in rounded("h", "hu", "hv", "peak", "f0")])
+
+
+def _forced_sql() -> str:
+    """The same two steps in standard SQL, sinks and limits written out by hand."""
+    d = "CAST('{}' AS DOUBLE)".format
+    out = f"{fx.CELL}, par AS (SELECT i, j, {', '.join(f'{text(x)} AS {c}' for c, x in _COLUMNS.items())} FROM cell), st0 AS (SELECT c.i, c.j, c.b, c.h, c.hu, c.hv, c.h AS peak, p.f0 FROM cell c JOIN par p ON p.i = c.i AND p.j = c.j)"
+    lines = Program(stencil.residual(DX, DX, h_min=HM))
+    scale = lambda new: f"{new} AS h, CASE WHEN h > {d('1e-10')} THEN hu * ({new}) / h ELSE {d(0)} END AS hu, CASE WHEN h > {d('1e-10')} THEN hv * ({new}) / h ELSE {d(0)} END AS hv"
+    for k, (rate, eta) in enumerate((("36", 0.5 + 0.0625), ("72", 0.5 + 0.125))):
+        rest = "i, j, b, peak, f0"
+        out += f""", pad{k} AS ({ghosts.fill_sql(f'st{k}', fx.N, fx.N, 2, **_PAD)}), res{k} AS (SELECT * FROM ({lines.sql(f'pad{k}')}) AS z WHERE {_GRID}),
+eu{k} AS (SELECT r.i, r.j, r.b, s.peak, s.f0, r.h + {d(DT)} * (r.rh + {d(rate)} / {d(3600000)}) AS h, r.hu + {d(DT)} * r.rhu AS hu, r.hv + {d(DT)} * r.rhv AS hv FROM res{k} r JOIN st{k} s ON s.i = r.i AND s.j = r.j),
+wd{k} AS (SELECT {rest}, greatest(h, {d(0)}) AS h, CASE WHEN h < {d(HM)} THEN {d(0)} ELSE hu END AS hu, CASE WHEN h < {d(HM)} THEN {d(0)} ELSE hv END AS hv FROM eu{k}),
+sp{k} AS (SELECT w.*, p.nm, greatest(h, {d(HM)}) AS hd, sqrt(power(hu / greatest(h, {d(HM)}), 2) + power(hv / greatest(h, {d(HM)}), 2)) AS m FROM wd{k} w JOIN par p ON p.i = w.i AND p.j = w.j),
+rn{k} AS (SELECT *, CASE WHEN m > 15 THEN greatest(nm, sqrt(1 / (({d('1e-10')} + {d(DT)}) * {d('9.81')} * power(hd, -{d(4)} / 3) * (m + {d('1e-30')})))) ELSE nm END AS ne FROM sp{k}),
+fr{k} AS (SELECT *, 2 / (1 + sqrt(1 + 4 * {d(DT)} * {d('9.81')} * ne * ne * power(hd, -{d(4)} / 3) * m)) AS a FROM rn{k}),
+pk{k} AS (SELECT i, j, b, f0, greatest(peak, h) AS peak, h, CASE WHEN h < {d(HM)} THEN {d(0)} ELSE hu * a END AS hu, CASE WHEN h < {d(HM)} THEN {d(0)} ELSE hv * a END AS hv FROM fr{k}),
+sg{k} AS (SELECT {rest}, CASE WHEN i = 0 THEN greatest({d(eta)} - b, {d(0)}) ELSE h END AS h, CASE WHEN i = 0 THEN {d(0)} ELSE hu END AS hu, CASE WHEN i = 0 THEN {d(0)} ELSE hv END AS hv FROM pk{k}),
+in{k} AS (SELECT s.i, s.j, s.b, s.peak, s.f0, {scale(f"greatest({d(0)}, h - infil * {d(DT)})")} FROM sg{k} s JOIN par p ON p.i = s.i AND p.j = s.j),
+sk{k} AS (SELECT *, (1 - CASE WHEN i >= 52 THEN {d('0.08')} * power((i - 52 + 1) / {d(12)}, 2) ELSE {d(0)} END) * (1 - CASE WHEN j >= 52 THEN {d('0.08')} * power((j - 52 + 1) / {d(12)}, 2) ELSE {d(0)} END) AS keep FROM in{k}),
+sw{k} AS (SELECT {rest}, h * keep + greatest({d('0.8')} - b, {d(0)}) * (1 - keep) AS h, hu * keep AS hu, hv * keep AS hv FROM sk{k}),
+ga{k} AS (SELECT s.i, s.j, s.b, s.peak, s.h, s.hu, s.hv, s.f0, p.tau, p.h_clamp, p.h_target, p.f_max, {d('0.5')} * (s.f0 + ks * {d(DT)} + sqrt(greatest(power(s.f0 + ks * {d(DT)}, 2) + 4 * ks * {d(DT)} * (psi + h) * dth, {d(0)}))) AS f2 FROM sw{k} s JOIN par p ON p.i = s.i AND p.j = s.j),
+df{k} AS (SELECT *, greatest({d(0)}, least(least(f2 - f0, h), f_max - f0)) AS df FROM ga{k}),
+dr{k} AS (SELECT i, j, b, peak, f0 + df AS f0, h_clamp, h_target, {scale(f"(h - df) * CASE WHEN tau > 0 THEN exp(-{d(DT)} / CASE WHEN tau > 0 THEN tau ELSE 1 END) ELSE {d(1)} END")} FROM df{k}),
+cl{k} AS (SELECT {rest}, h_target, {scale("CASE WHEN h_clamp IS NOT NULL AND h > h_clamp THEN h_clamp ELSE h END")} FROM dr{k}),
+tg{k} AS (SELECT {rest}, {scale("CASE WHEN h_target IS NOT NULL AND h > h_target THEN h_target ELSE h END")} FROM cl{k}),
+st{k + 1} AS (SELECT i, j, b, least(h, {d('0.6')}) AS h, CASE WHEN h > {d('0.6')} THEN {d(0)} ELSE hu END AS hu, CASE WHEN h > {d('0.6')} THEN {d(0)} ELSE hv END AS hv, peak, f0 FROM tg{k})"""
+    return f"WITH {out} SELECT i, j, {', '.join(rounded('h', 'hu', 'hv', 'peak', 'f0'))} FROM st2"
+
+
+add("x7_run", forced_run, _forced_sql())
+
 # The flagship: time step from the wave speeds, then one SRM-HLLC Euler step
 _FLAG = Program(stencil.residual(DX, DX, h_min=HM))
 _STEP = Program(stencil.euler("dt", HM))
