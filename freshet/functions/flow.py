@@ -182,3 +182,14 @@ def sponge(width: int, nx: int, ny: int, stage: str) -> list[str]:
         f"sp_x = if(i >= {nx - width}, 0.08 * ((i - {nx - width}.0 + 1.0) / {width}.0) * ((i - {nx - width}.0 + 1.0) / {width}.0), 0.0)", f"sp_y = if(j >= {ny - width}, 0.08 * ((j - {ny - width}.0 + 1.0) / {width}.0) * ((j - {ny - width}.0 + 1.0) / {width}.0), 0.0)",
         "sp_k = (1.0 - sp_x) * (1.0 - sp_y)", f"sp_a = greatest({stage} - b, 0.0) * (1.0 - sp_k)", "h1 = h * sp_k + sp_a", "hu1 = hu * sp_k", "hv1 = hv * sp_k",
     ]
+
+
+def sponge_bands(width: int, nx: int, ny: int, stage: str) -> list[str]:
+    """The same damping applied band by band: cells of both bands, in the corner, take it twice."""
+    lines = sponge(width, nx, ny, stage)[:4]
+    one = f"(i >= {nx - width} OR j >= {ny - width})"
+    two = f"(i >= {nx - width} AND j >= {ny - width})"
+    return lines + [
+        f"sb_h = if({one}, h * sp_k + sp_a, h)", f"sb_k = if({one}, sp_k, 1.0)",
+        f"h1 = if({two}, sb_h * sp_k + sp_a, sb_h)", f"hu1 = if({two}, hu * sb_k * sp_k, hu * sb_k)", f"hv1 = if({two}, hv * sb_k * sp_k, hv * sb_k)",
+    ]

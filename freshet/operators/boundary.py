@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from freshet.operators.mesh import SIDES
 
 G_INLET = 9.80665
+MOST_GAUGES = 10_000
 
 
 def inlet_ghosts(cells: DataFrame, inlet_cells: DataFrame, inlets: DataFrame, ngh: int, dry_frac: float = 0.1) -> DataFrame:
@@ -53,15 +54,22 @@ def apply_stage(cells: DataFrame, stage_cells: DataFrame, eta: float, keep_momen
 
 def ring_stage(ring: DataFrame, weights: DataFrame, stage: DataFrame) -> DataFrame:
     """(i, j, eta, h): stages (gauge, eta) weighted onto ring cells (i, j, bed)."""
-    eta = weights.join(F.broadcast(stage), "gauge").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("eta")).alias("eta"))  # a row for each gauge
+    eta = weights.join(stage, "gauge").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("eta")).alias("eta"))  # a row for each gauge
     return ring.join(eta, ["i", "j"]).select("i", "j", "eta", F.greatest(F.lit(0.0), F.col("eta") - F.col("bed")).alias("h"))
 
 
+def stage_from_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
+    """(i, j, b): the cells of a mask (i, j, on), with their bed."""
+    return cells.select("i", "j", "b").join(mask.where("on").select("i", "j").distinct(), ["i", "j"])
+
+
 def idw_weights(ring: DataFrame, gauges: DataFrame, dx: float) -> DataFrame:
     """(i, j, gauge, w): inverse square distances, at least one cell, adding up to 1 for each ring cell.
 
-    Every ring cell needs every gauge; gauges are a handful and are broadcast.
+    Every ring cell needs every gauge; at most ``MOST_GAUGES`` are broadcast, more raise.
     """
+    if gauges.limit(MOST_GAUGES + 1).count() > MOST_GAUGES:
+        raise ValueError(f"more than {MOST_GAUGES} gauges")
     d2 = F.pow((F.col("i") + 0.5) * dx - F.col("x"), F.lit(2)) + F.pow((F.col("j") + 0.5) * dx - F.col("y"), F.lit(2))
     w = 1.0 / F.greatest(d2, F.lit(dx * dx))
     raw = ring.select("i", "j").crossJoin(F.broadcast(gauges)).select("i", "j", F.col("g").alias("gauge"), w.alias("raw"))
@@ -87,15 +95,18 @@ def ghost_pairs(stored: DataFrame) -> DataFrame:
     return best.select("i", "j", "x.pi", "x.pj")
 
 
-def ghost_state(stored: DataFrame, pairs: DataFrame, mode: str, eta: float = 0.0) -> DataFrame:
+def ghost_state(stored: DataFrame, pairs: DataFrame, mode: str, eta: float | None = None) -> DataFrame:
     """(i, j, h, hu, hv) of paired ghosts.
 
     extrapolate copies the neighbour; stage holds still water at eta; stage_uv adds the
     neighbour's velocity to it; hybrid takes the stage where the neighbour lies below eta
-    and copies it elsewhere; off leaves ghosts dry.
+    and copies it elsewhere; off leaves ghosts dry; auto is stage where eta is given, else off.
     """
+    if mode == "auto":
+        mode = "off" if eta is None else "stage"
     if mode not in ("off", "extrapolate", "stage", "stage_uv", "hybrid"):
         raise ValueError(f"unknown ring mode {mode!r}")
+    eta = 0.0 if eta is None else eta
     n = stored.select(F.col("i").alias("pi"), F.col("j").alias("pj"), F.col("h").alias("nh"), F.col("hu").alias("nu"), F.col("hv").alias("nv"), F.col("b").alias("nb"))
     x = pairs.join(stored.select("i", "j", "b"), ["i", "j"]).join(n, ["pi", "pj"])
     still = F.greatest(F.lit(eta) - F.col("b"), F.lit(0.0))

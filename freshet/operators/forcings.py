@@ -33,7 +33,8 @@ class Forcings:
     rain_cells (i, j, pix) take its place where they are given. inlets (inlet, q, ds, nx,
     ny) act outward of inlet_cells (inlet, i, j). stage (t, v) sets still water on
     stage_cells (i, j). gauges (gauge, t, v) are blended onto ring cells by ring_weights
-    (i, j, gauge, w). sponge is (width, still level); cap limits the depth everywhere.
+    (i, j, gauge, w). sponge is (width, still level), sponge_bands lets its bands act one
+    after the other; cap limits the depth everywhere.
     """
 
     rain: DataFrame | None = None
@@ -46,6 +47,7 @@ class Forcings:
     gauges: DataFrame | None = None
     ring_weights: DataFrame | None = None
     sponge: tuple[int, float] | None = None
+    sponge_bands: bool = False
     cap: float | None = None
 
     def __post_init__(self):
@@ -153,7 +155,9 @@ def forced_step(cells: DataFrame, nx: int, ny: int, dx: float, dt: float, t: flo
     if "infil" in own:
         q = changed(q, flow.infiltration("infil", step), **sunk)
     if f.sponge:
-        q = changed(q, flow.sponge(f.sponge[0], nx, ny, repr(float(f.sponge[1]))), **sunk)
+        if f.sponge[0] > min(nx, ny):
+            raise ValueError(f"a sponge of {f.sponge[0]} cells is wider than the grid")
+        q = changed(q, (flow.sponge_bands if f.sponge_bands else flow.sponge)(f.sponge[0], nx, ny, repr(float(f.sponge[1]))), **sunk)
     if f.gauges is not None:
         q = still_water(q, blended(f.gauges, f.ring_weights, t + dt))
     if "ks" in own:

@@ -42,11 +42,25 @@ def rain_limit(dt: float, rate: float, cfl: float, dx: float) -> float:
     return dt if rate <= 0 else min(dt, (cfl * dx) ** (2 / 3) / (G * rate) ** (1 / 3))
 
 
+def held_step(dt: float, k: int) -> float:
+    """The step that is kept for k steps: with a margin if it isn't looked at again at once."""
+    return dt if k <= 1 else 0.95 * dt
+
+
+def finite(dt: float | None, t: float = 0.0) -> float:
+    """dt, if it is a finite number."""
+    if dt is None or not math.isfinite(dt):
+        raise FloatingPointError(f"the wave speed at t = {t} isn't finite")
+    return dt
+
+
+#: No step is longer than this, whatever the speeds.
+LONGEST = 1800.0
+
+
 def next_step(dt: float, t: float, t_end: float, dt_min: float = 0.0, dt_max: float = math.inf) -> float:
     """The step used: capped, not below dt_min, and ending at t_end."""
-    if not math.isfinite(dt):
-        raise FloatingPointError(f"the wave speed at t = {t} isn't finite")
-    return min(max(min(dt, dt_max), dt_min), t_end - t)
+    return min(max(min(finite(dt, t), dt_max, LONGEST), dt_min), t_end - t)
 
 
 def masked_peak(cells: DataFrame) -> DataFrame:
@@ -64,8 +78,8 @@ def gauge_cells(gauges: DataFrame, nx: int, ny: int, dx: float, x0: float = 0.0,
 
 
 def sample(cells: DataFrame, places: DataFrame, dry: float = 1e-12) -> DataFrame:
-    """(g, h, u, v, eta) at gauge cells (g, i, j), a handful that is broadcast."""
-    x = cells.join(F.broadcast(places.select("g", "i", "j")), ["i", "j"])
+    """(g, h, u, v, eta) at gauge cells (g, i, j)."""
+    x = cells.join(places.select("g", "i", "j"), ["i", "j"])
     wet = F.col("h") > dry
     safe = F.when(wet, F.col("h")).otherwise(1.0)
     return x.select("g", "h", *[F.when(wet, F.col(m) / safe).otherwise(0.0).alias(u) for m, u in (("hu", "u"), ("hv", "v"))], (F.col("h") + F.col("b")).alias("eta"))
@@ -85,6 +99,11 @@ def cross_sections(cells: DataFrame, pixels: DataFrame, dx: float) -> DataFrame:
     return s.select("g", "h_max", "h_mean", (F.col("h_max") + F.col("_b")).alias("wse"), "q", "n")
 
 
+def envelope(frames: DataFrame) -> DataFrame:
+    """(i, j, peak): the greatest depth of each cell over frames (i, j, h)."""
+    return frames.groupBy("i", "j").agg(F.max("h").alias("peak"))
+
+
 THRESHOLDS = (0.1, 0.3, 0.5, 1.0)
 
 

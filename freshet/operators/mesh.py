@@ -122,3 +122,23 @@ def check_classes(cells: DataFrame, table: DataFrame, cls: str = "cls") -> None:
     bad = [c for c, kind in table.dtypes if kind in ("double", "float")]
     if bad and table.where(" or ".join(f"isnan({c}) or abs({c}) = double('infinity') or {c} is null" for c in bad)).limit(1).count():
         raise ValueError("the table holds a value that isn't finite")
+
+
+def halo_rows(cells: DataFrame, nx: int, parts: int, width: int = 1) -> DataFrame:
+    """(to, i, j, h): rows that each of ``parts`` strips along i sends to its neighbours, faces only."""
+    size = -(-nx // parts)
+    own = F.floor(F.col("i") / size).cast("int")
+    at = F.col("i") % size
+    send = F.array_compact(F.array(F.when(at < width, own - 1), F.when(at >= size - width, own + 1)))
+    return cells.select(F.explode(send).alias("to"), "i", "j", "h").where(F.col("to").between(0, parts - 1))
+
+
+def stitch(parts: list[DataFrame], nx: int, ny: int) -> DataFrame:
+    """The parts of a grid as one table; a cell that is missing or there twice raises."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    told = out.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("m")).first()
+    if (told.n, told.m) != (nx * ny, nx * ny):
+        raise ValueError(f"the parts hold {told.n} rows of {told.m} cells, the grid {nx * ny}")
+    return out

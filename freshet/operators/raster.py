@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.functions.program import Program
+from freshet.operators import ghosts
+from freshet.sources import store
+
 NODATA = -9999.0
 #: Roughness by land-cover code.
 MANNING = {
@@ -65,24 +70,53 @@ def infill_nearest(dem: DataFrame) -> DataFrame:
 
     Rings of doubling size are searched: gaps meet valid cells through buckets as wide as
     the ring, so a gap sees a bounded neighbourhood and most are filled by the first ring.
+    What a ring leaves is written before the next one, so plans don't grow with the rounds.
     """
+    dem = store.kept(dem.select("i", "j", F.col("z").cast("double").alias("z")))
     good = dem.where(valid(F.col("z"))).select("i", "j", "z")
     gaps = dem.where(~F.coalesce(valid(F.col("z")), F.lit(False))).select("i", "j")
     out, reach = good, 2
-    if not good.limit(1).count():
+    if good.isEmpty():
         return dem.select("i", "j", F.lit(0.0).alias("z"))
-    while True:
+    while not gaps.isEmpty():
         near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
         asked = gaps.select("i", "j", near.alias("n")).select("i", "j", (F.floor(F.col("i") / reach) + F.col("n.a")).alias("bi"), (F.floor(F.col("j") / reach) + F.col("n.b")).alias("bj"))
         held = good.select(F.col("i").alias("gi"), F.col("j").alias("gj"), "z", F.floor(F.col("i") / reach).alias("bi"), F.floor(F.col("j") / reach).alias("bj"))
         d2 = (F.col("i") - F.col("gi")) * (F.col("i") - F.col("gi")) + (F.col("j") - F.col("gj")) * (F.col("j") - F.col("gj"))
         # a hit within the reach can't be beaten by a cell outside the buckets
         hit = asked.join(held, ["bi", "bj"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach).groupBy("i", "j").agg(F.min(F.struct("d2", "gi", "gj", "z")).alias("x")).select("i", "j", "x.z")
+        hit = store.kept(hit)
         out = out.unionByName(hit)
-        gaps = gaps.join(hit, ["i", "j"], "left_anti")
-        if not gaps.limit(1).count():
-            return out
+        gaps = store.kept(gaps.join(hit, ["i", "j"], "left_anti"))
         reach *= 4
+    return out
+
+
+def clean_dem(dem: DataFrame, nx: int, ny: int, least: float = 1e-3, spike: float = 8.0, passes: int = 3, bounds: tuple[float, float] | None = None) -> tuple[DataFrame, dict]:
+    """A merged DEM without values near zero, gaps and spikes, and counts of what was done.
+
+    Demoted cells and gaps are filled from their nearest neighbour first; then up to
+    ``passes`` times cells far from their median take it, until none is; then the bounds.
+    """
+    if bounds is not None and bounds[1] < bounds[0]:
+        raise ValueError("the upper limit is below the lower")
+    marked = demote_near_zero(dem, least)
+    stats = {"n_near_zero": marked.where("demoted").count(), "n_spikes": 0, "n_clipped": 0}
+    out = infill_nearest(marked.select("i", "j", "z"))
+    for _ in range(passes):
+        m = store.kept(median_3x3(out, nx, ny))
+        n = m.where(F.abs(F.col("z") - F.col("med")) > spike).count()
+        if not n:
+            break
+        stats["n_spikes"] += n
+        out = m.select("i", "j", F.when(F.abs(F.col("z") - F.col("med")) > spike, F.col("med")).otherwise(F.col("z")).alias("z"))
+    if bounds is not None:
+        out = clip(out, *bounds)
+        stats["n_clipped"] = out.where("clipped").count()
+        if stats["n_clipped"]:
+            warnings.warn(f"{stats['n_clipped']} of {nx * ny} cells lay outside {bounds} and are on the bound now", stacklevel=2)
+        out = out.select("i", "j", "z")
+    return out, stats
 
 
 def landcover_bands(cells: DataFrame, spark, half: float = 0.5) -> DataFrame:
@@ -127,15 +161,18 @@ def smooth(dem: DataFrame, nx: int, ny: int, sigma: float = 2.0, low: float = -2
     """Gaussian smoothing (edges reflected) of cells with low < z < high; others keep z."""
     w = gaussian_weights(sigma)
     r = len(w) // 2
-    out = dem.withColumn("_s", F.col("z"))
-    for along, across, n in (("i", "j", nx), ("j", "i", ny)):
-        # each value goes to every cell it weighs on, also by way of the reflection at an edge
-        spread = F.explode(F.sequence(F.col(along) - r, F.col(along) + r))
-        x = out.select(along, across, "_s", spread.alias("_t")).withColumn("_w", F.element_at(F.array(*map(F.lit, w)), F.col("_t") - F.col(along) + r + 1))
-        to = F.when(F.col("_t") < 0, -1 - F.col("_t")).when(F.col("_t") >= n, 2 * n - 1 - F.col("_t")).otherwise(F.col("_t"))
-        s = x.groupBy(to.cast("int").alias(along), across).agg(F.sum(F.col("_s") * F.col("_w")).alias("_s"))
-        out = out.drop("_s").join(s, ["i", "j"])
-    return out.withColumn("z", F.when((F.col("z") > low) & (F.col("z") < high), F.col("_s")).otherwise(F.col("z"))).drop("_s")
+    if r > min(nx, ny):
+        raise ValueError(f"sigma = {sigma} reaches {r} cells, more than the grid has")
+    # a wall's ghosts are the reflection; sums of neighbours need one exchange for each axis
+    padded = ghosts.fill(dem.withColumns({"_z": F.col("z"), "_u": F.lit(0.0), "_v": F.lit(0.0)}), nx, ny, r, *["wall"] * 4, state=("_z", "_u", "_v"))
+    sums = [f"{to} = " + " + ".join(f"{x!r} * n{a}({c}, {k - r})" for k, x in enumerate(w)) for a, c, to in (("x", "_z", "_a"), ("y", "_a", "_s"))]
+    out = Program(sums).apply(padded).where(F.col("i").between(0, nx - 1) & F.col("j").between(0, ny - 1))
+    return out.withColumn("z", F.when((F.col("z") > low) & (F.col("z") < high), F.col("_s")).otherwise(F.col("z"))).select(*dem.columns)
+
+
+def condition(dem: DataFrame, nx: int, ny: int) -> DataFrame:
+    """A case's bed: gaps filled, clipped to [-10, 50], smoothed near the datum."""
+    return smooth(clip(infill_nearest(dem), -10.0, 50.0).drop("clipped"), nx, ny)
 
 
 def burn_channels(dem: DataFrame, mask: DataFrame, drop: float, target: float, cutoff: float) -> DataFrame:
@@ -167,16 +204,31 @@ def best_frame(stats: DataFrame, mean: float, peak: float) -> DataFrame:
     return stats.withColumn("score", score).where("score is not null").orderBy("score", "frame").limit(1)
 
 
-def bilinear(coarse: DataFrame, fine: DataFrame, ratio: float, nx: int, ny: int) -> DataFrame:
-    """fine (i, j) with z between the four coarse centres around its own; edges are held."""
+def _kernel(kind: str, x):
+    """Weight of a cell centre at distance x (in cells) by resampling kind."""
+    x = F.abs(x)
+    if kind == "nearest":
+        return F.lit(1.0)
+    if kind == "bilinear":
+        return F.greatest(1 - x, F.lit(0.0))
+    near = 1.5 * x * x * x - 2.5 * x * x + 1  # cubic convolution with a = -1/2
+    far = -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2
+    return F.when(x <= 1, near).when(x < 2, far).otherwise(0.0)
+
+
+def resample(coarse: DataFrame, fine: DataFrame, ratio: float, nx: int, ny: int, kind: str = "bilinear") -> DataFrame:
+    """fine (i, j) with z from the coarse centres around its own: nearest, bilinear or cubic; edges are held."""
+    if kind not in ("nearest", "bilinear", "cubic"):
+        raise ValueError(f"unknown resampling {kind!r}")
     u, v = (F.col("i") + 0.5) * ratio - 0.5, (F.col("j") + 0.5) * ratio - 0.5
-    a, c = F.floor(u), F.floor(v)
+    a, c = (F.floor(u + 0.5), F.floor(v + 0.5)) if kind == "nearest" else (F.floor(u), F.floor(v))
+    steps = {"nearest": (0,), "bilinear": (0, 1), "cubic": (-1, 0, 1, 2)}[kind]
     corners = F.array(*[
         F.struct(
             F.least(F.greatest(a + d, F.lit(0)), F.lit(nx - 1)).cast("int").alias("ci"), F.least(F.greatest(c + e, F.lit(0)), F.lit(ny - 1)).cast("int").alias("cj"),
-            ((u - a if d else 1 - (u - a)) * (v - c if e else 1 - (v - c))).alias("w"),
+            (_kernel(kind, u - a - d) * _kernel(kind, v - c - e)).alias("w"),
         )
-        for d in (0, 1) for e in (0, 1)
+        for d in steps for e in steps
     ])
     x = fine.select("i", "j", F.explode(corners).alias("c")).select("i", "j", "c.ci", "c.cj", "c.w")
     return x.join(coarse.select(F.col("i").alias("ci"), F.col("j").alias("cj"), "z"), ["ci", "cj"]).groupBy("i", "j").agg(F.sum(F.col("z") * F.col("w")).alias("z"))

@@ -252,8 +252,7 @@ class ShallowWater:
 
     def cfl_dt(self) -> float:
         row = measure.cfl_step(self.cells, self.dx, self.cfg.cfl, self.cfg.h_min, self.cfg.cfl_norm).first()
-        if row.lam is None or not math.isfinite(row.lam):
-            raise FloatingPointError(f"the wave speed at t = {self.t} isn't finite")
+        measure.finite(row.lam, self.t)
         return row.dt
 
     def _by_blocks(self) -> bool:
@@ -279,9 +278,7 @@ class ShallowWater:
             rate = self.cfg.rainfall + (self.forcings.rain_rate(self.t) if self.forcings else 0.0)
             dt = measure.rain_limit(allowed or self.cfl_dt(), rate, self.cfg.cfl, self.dx)
             n = most if max_steps is None else min(most, max_steps - self.steps)
-            if n > 1:
-                dt *= 0.95
-            dt = measure.next_step(dt, self.t, t_end, self.cfg.dt_min, self.cfg.dt_max)
+            dt = measure.next_step(measure.held_step(dt, n), self.t, t_end, self.cfg.dt_min, self.cfg.dt_max)
             n = max(1, min(n, int((t_end - self.t) / dt)))
             before = (self.t, self.steps, self.cells)
             self.step(dt, n)

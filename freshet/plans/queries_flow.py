@@ -7,7 +7,7 @@ from freshet.functions.program import Chain, Program, rounded, text
 from freshet.model import Config
 from freshet.operators import ghosts
 from freshet.operators.forcings import Forcings, flow_step
-from freshet.operators.solver import ShallowWater
+from freshet.operators.solver import ShallowWater, window_step
 from freshet.plans import fixtures as fx
 from freshet.plans.registry import FLAGSHIP, add, pointwise
 from pyspark.sql import functions as F
@@ -119,6 +119,12 @@ pointwise("f14_infiltration", ["rate = 0.0001 * (n % 5)"] + flow.infiltration("r
 pointwise("f15_target_depth", ["ht = if(n % 3 = 0, 0.05 * (1 + n % 4), NULL)"] + flow.depth_limit("ht"), ["h1", "hu1", "hv1"])
 pointwise("f16_stage_clamp", ["hm = if(i % 4 = 0, 0.1 + 0.05 * (j % 5), NULL)"] + flow.depth_limit("hm"), ["h1", "hu1", "hv1"])
 pointwise("f17_depth_cap", flow.depth_cap("0.4"), ["h1", "hu1", "hv1"])
+add("b15_sponge_bands", lambda spark, sf: Program(flow.sponge_bands(12, 64, 64, "0.8")).apply(fx.cell(spark, sf)).select("i", "j", *[F.expr(x) for x in rounded("h1", "hu1", "hv1", digits=15)]), f"""WITH {fx.CELL},
+e AS (SELECT *, (i - 51) / CAST(12 AS DOUBLE) AS x, (j - 51) / CAST(12 AS DOUBLE) AS y, CAST('0.08' AS DOUBLE) AS a FROM cell),
+d AS (SELECT *, (1 - CASE WHEN i >= 52 THEN a * x * x ELSE 0 END) * (1 - CASE WHEN j >= 52 THEN a * y * y ELSE 0 END) AS k FROM e),
+x AS (SELECT i, j, b, k, CASE WHEN i >= 52 THEN h * k + greatest(CAST('0.8' AS DOUBLE) - b, 0) * (1 - k) ELSE h END AS h, CASE WHEN i >= 52 THEN hu * k ELSE hu END AS hu, CASE WHEN i >= 52 THEN hv * k ELSE hv END AS hv FROM d),
+y AS (SELECT i, j, CASE WHEN j >= 52 THEN h * k + greatest(CAST('0.8' AS DOUBLE) - b, 0) * (1 - k) ELSE h END AS h1, CASE WHEN j >= 52 THEN hu * k ELSE hu END AS hu1, CASE WHEN j >= 52 THEN hv * k ELSE hv END AS hv1 FROM x)
+SELECT i, j, {', '.join(rounded('h1', 'hu1', 'hv1', digits=15))} FROM y""")
 pointwise("b15_sponge", flow.sponge(12, 64, 64, "0.8"), ["h1", "hu1", "hv1"], digits=15)
 pointwise("d13_initial_condition", ["h0 = if(b > -0.5 AND b < 0.5, 0.0, if((i - 32) * (i - 32) + (j - 32) * (j - 32) > 676, 0.0, greatest(0.9 - b, 0.0)))"], ["h0"])
 pointwise("d14_two_level_start", ["h0 = greatest(if(b < 0.5, 0.75, 1.25) - b, 0.0)"], ["h0"])
@@ -181,6 +187,17 @@ def _two_sql() -> str:
 
 add("x6_two_steps", _two_steps, _two_sql())
 
+
+def running_peak(spark, sf_dir: str):
+    """The largest depth over the start and two steps, carried along as a column."""
+    q = fx.cell(spark, sf_dir)
+    for _ in range(2):
+        q = window_step(q, fx.N, fx.N, float(DX), float(DT), Config(boundary=_PAD))
+    return q.select("i", "j", *[F.expr(x) for x in rounded("peak")])
+
+
+add("x11_running_peak", running_peak, _two_sql().split(" SELECT i, j, round")[0] + f", tops AS (SELECT i, j, h FROM cell UNION ALL SELECT i, j, h FROM st0 UNION ALL SELECT i, j, h FROM st1), top AS (SELECT i, j, max(h) AS peak FROM tops GROUP BY 1, 2) SELECT i, j, {rounded('peak')[0]} FROM top")
+
 # What follows the flow step, in the order of the drivers
 _S = {"h": "h1", "hu": "hu1", "hv": "hv1"}
 _AFTER = Chain(

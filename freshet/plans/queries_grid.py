@@ -26,13 +26,13 @@ add("c3_cfl_wet", lambda s, d: shown(measure.cfl_step(fx.cell(s, d).withColumn("
     _cfl_sql(flow.wave_speed_2d("raw", "1e-06") + ["lam = raw * (1.0 + n % 2)"], where="h >= 1e-6 AND i <> 0"))
 add("c4_cfl_l2", lambda s, d: shown(measure.cfl_step(fx.cell(s, d), 2.0, norm="l2", skip_dry=True), "lam", "dt"), _cfl_sql(flow.wave_speed_l2("lam", "1e-06"), where="h >= 1e-6"))
 add("c5_cfl_percentile", lambda s, d: shown(measure.cfl_step(fx.cell(s, d), 2.0, percentile=99.0), "lam", "dt"), _cfl_sql(flow.wave_speed_2d("lam", "1e-06"), agg="quantile_cont(lam, 0.99)"))
-add("c6_rain_limit", lambda s, d: fx.series(s, d).agg(F.max("v").alias("r")).select(F.round(F.least(F.lit(60.0), F.pow(F.lit(0.5 * 2.0), F.lit(2.0 / 3.0)) / F.pow(F.lit(9.81) * F.col("r") / F.lit(3.6e6), F.lit(1.0 / 3.0))), 9).alias("dt")),
+add("c6_rain_limit", lambda s, d: s.createDataFrame([(round(measure.rain_limit(60.0, fx.series(s, d).agg(F.max("v").alias("r")).first().r / 3.6e6, 0.5, 2.0), 9),)], "dt double"),
     f"WITH {fx.SERIES} SELECT round(least({D(60)}, power({D(1)}, {D(2)} / {D(3)}) / power({D(9.81)} * max(v) / {D(3.6e6)}, {D(1)} / {D(3)})), 9) AS dt FROM series")
 add("c7_finite_guard", lambda s, d: measure.wave_speeds(fx.cell(s, d)).agg(F.count_if(F.isnan("lam") | (F.abs("lam") == float("inf"))).alias("n_bad"), F.max("lam").isNotNull().alias("known")),
     f"WITH {fx.CELL}, l AS ({Program(flow.wave_speed_2d('lam', '1e-06')).sql('cell')}) SELECT count(*) FILTER (isnan(lam) OR isinf(lam)) AS n_bad, max(lam) IS NOT NULL AS known FROM l")
 add("c10_masked_peak", lambda s, d: shown(measure.masked_peak(fx.cell(s, d).withColumn("active", F.col("i") < 40)), "h_max"), f"WITH {fx.CELL} SELECT {rounded('h_max')[0]} FROM (SELECT max(h) AS h_max FROM cell WHERE i < 40)")
 add("a4_volume", lambda s, d: shown(measure.volume(fx.cell(s, d), 2.0), "volume", digits=6), f"WITH {fx.CELL} SELECT {rounded('volume', digits=6)[0]} FROM (SELECT sum(h) * {D(4)} AS volume FROM cell)")
-add("a5_peak_envelope", lambda s, d: shown(fx.fields(s, d).select("i", "j", F.greatest("ha", "hb").alias("peak")), "peak", keys=("i", "j")), f"WITH {fx.FIELDS} SELECT i, j, round(greatest(ha, hb), 9) + {D(0)} AS peak FROM fields")
+add("a5_peak_envelope", lambda s, d: shown(measure.envelope(fx.fields(s, d).select("i", "j", F.explode(F.array("ha", "hb", F.col("ha") - F.col("hb"))).alias("h"))), "peak", keys=("i", "j")), f"WITH {fx.FIELDS}, fr AS (SELECT i, j, ha AS h FROM fields UNION ALL SELECT i, j, hb FROM fields UNION ALL SELECT i, j, ha - hb FROM fields), y AS (SELECT i, j, max(h) AS peak FROM fr GROUP BY 1, 2) SELECT i, j, {rounded('peak')[0]} FROM y")
 
 # Agreement of two depth fields
 _AGREE = f"""WITH {fx.FIELDS}, x AS (SELECT *, (ha - hb) * (ha - hb) AS d2 FROM fields, (VALUES ({D(0.1)}), ({D(0.3)}), ({D(0.5)}), ({D(1.0)})) AS th(threshold)),
@@ -97,7 +97,7 @@ _CUM = "cnt AS (SELECT g.range AS i, count(d.i) AS n FROM range(64) g LEFT JOIN
 add("m10_balanced_columns", lambda s, d: mesh.balanced_columns(disc(s, d), 64, 4),
     f"WITH {fx.CELL}, {_DISC}, {_CUM}, hit AS (SELECT p.part, min(i) AS i0 FROM (VALUES (1), (2), (3)) AS p(part) JOIN cum ON c * 4 >= p.part * total GROUP BY 1) SELECT 0 AS part, 0 AS i_begin UNION ALL SELECT part, CAST(max(i0 + 1 - part) OVER (ORDER BY part) + part AS INT) FROM hit")
 add("m11_blocks", lambda s, d: mesh.blocks(fx.cell(s, d), 64, 64, 3, 5).groupBy("bi", "bj").agg(F.count("*").alias("n"), F.min("i").alias("i0"), F.max("j").alias("j1")), f"WITH {fx.CELL} SELECT CAST(i // 22 AS INT) AS bi, CAST(j // 13 AS INT) AS bj, count(*) AS n, min(i) AS i0, max(j) AS j1 FROM cell GROUP BY 1, 2")
-add("h1_halo_rows", lambda s, d: mesh.blocks(fx.cell(s, d), 64, 64, 4, 1).where("i % 16 in (0, 15)").select(F.when(F.col("i") % 16 == 0, F.col("bi") - 1).otherwise(F.col("bi") + 1).alias("to"), "i", "j", "h").where("to between 0 and 3"),
+add("h1_halo_rows", lambda s, d: mesh.halo_rows(fx.cell(s, d), 64, 4),
     f"WITH {fx.CELL}, x AS (SELECT CASE WHEN i % 16 = 0 THEN i // 16 - 1 ELSE i // 16 + 1 END AS t, i, j, h FROM cell WHERE i % 16 IN (0, 15)) SELECT CAST(t AS INT) AS \"to\", i, j, h FROM x WHERE t BETWEEN 0 AND 3")
 
 # Ghosts around an active set
@@ -110,11 +110,11 @@ def stored(s, d):
 
 
 add("b13_ghost_pairs", lambda s, d: boundary.ghost_pairs(stored(s, d)), f"WITH {fx.CELL}, {_RINGS}, {_PAIRS} SELECT i, j, pi, pj FROM prs")
-for _mode in ("off", "extrapolate", "stage", "stage_uv", "hybrid"):
+for _mode in ("off", "extrapolate", "stage", "stage_uv", "hybrid", "auto"):
     _st = f"greatest({D(0.6)} - b, {D(0)})"
     _sc = f"(CASE WHEN nh > 1e-10 THEN {_st} / nh ELSE {D(0)} END)"
-    _h = {"off": D(0), "extrapolate": "nh", "stage": _st, "stage_uv": _st, "hybrid": f"CASE WHEN nh + nb < 0.6 THEN {_st} ELSE nh END"}[_mode]
-    _m = [{"off": D(0), "extrapolate": c, "stage": D(0), "stage_uv": f"{c} * {_sc}", "hybrid": f"CASE WHEN nh + nb < 0.6 THEN {D(0)} ELSE {c} END"}[_mode] for c in ("nu", "nv")]
+    _h = {"off": D(0), "extrapolate": "nh", "stage": _st, "auto": _st, "stage_uv": _st, "hybrid": f"CASE WHEN nh + nb < 0.6 THEN {_st} ELSE nh END"}[_mode]
+    _m = [{"off": D(0), "extrapolate": c, "stage": D(0), "auto": D(0), "stage_uv": f"{c} * {_sc}", "hybrid": f"CASE WHEN nh + nb < 0.6 THEN {D(0)} ELSE {c} END"}[_mode] for c in ("nu", "nv")]
     add(f"b{14 if _mode == 'stage_uv' else 12}_ring_{_mode}", lambda s, d, m=_mode: shown(boundary.ghost_state(stored(s, d), boundary.ghost_pairs(stored(s, d)), m, 0.6), "h", "hu", "hv", keys=("i", "j")),
         f"WITH {fx.CELL}, {_RINGS}, {_PAIRS}, x AS (SELECT prs.i, prs.j, g.b, c.h AS nh, c.hu AS nu, c.hv AS nv, c.b AS nb FROM prs JOIN cell g ON g.i = prs.i AND g.j = prs.j JOIN cell c ON c.i = prs.pi AND c.j = prs.pj), y AS (SELECT i, j, {_h} AS h, {_m[0]} AS hu, {_m[1]} AS hv FROM x) SELECT i, j, {', '.join(rounded('h', 'hu', 'hv'))} FROM y")
 
@@ -142,6 +142,11 @@ def dem(s, d):
 
 _DEM = f"dem AS (SELECT i, j, CASE WHEN (i * j) % 11 = 0 THEN {D(-9999)} WHEN n % 9 = 0 THEN b + {D(20)} WHEN n % 9 = 1 THEN {D(0.0005)} ELSE b END AS z FROM cell)"
 add("d2_near_zero", lambda s, d: raster.demote_near_zero(dem(s, d)), f"WITH {fx.CELL}, {_DEM} SELECT i, j, coalesce(abs(z) < 0.001 AND z <> 0, FALSE) AS demoted, CASE WHEN abs(z) < 0.001 AND z <> 0 THEN {D(-9999)} ELSE z END AS z FROM dem")
+add("d3_clean_dem", lambda s, d: raster.clean_dem(dem(s, d), 64, 64, passes=1, bounds=(-100.0, 1.0))[0],
+    f"WITH {fx.CELL}, {_DEM}, ok AS (SELECT i, j, CASE WHEN abs(z) < 0.001 AND z <> 0 THEN {D(-9999)} ELSE z END AS z FROM dem), vd AS (SELECT * FROM ok WHERE z <> -9999), gp AS (SELECT i, j FROM ok WHERE z = -9999), "
+    "nr AS (SELECT gp.i, gp.j, vd.z FROM gp JOIN vd ON abs(vd.i - gp.i) <= 9 AND abs(vd.j - gp.j) <= 9 QUALIFY row_number() OVER (PARTITION BY gp.i, gp.j ORDER BY (vd.i - gp.i) * (vd.i - gp.i) + (vd.j - gp.j) * (vd.j - gp.j), vd.i, vd.j) = 1), "
+    "fl AS (SELECT * FROM vd UNION ALL SELECT * FROM nr), md AS (SELECT a.i, a.j, list_sort(list(z.z))[5] AS med, any_value(a.z) AS z FROM fl a, (VALUES (-1), (0), (1)) AS x(dx), (VALUES (-1), (0), (1)) AS y(dy) JOIN fl z ON z.i = least(greatest(a.i + dx, 0), 63) AND z.j = least(greatest(a.j + dy, 0), 63) GROUP BY 1, 2) "
+    f"SELECT i, j, least(greatest(CASE WHEN abs(z - med) > 8 THEN med ELSE z END, {D(-100)}), {D(1)}) AS z FROM md")
 _MED = "med AS (SELECT a.i, a.j, list_sort(list(z.z))[5] AS med, any_value(a.z) AS z FROM dem a, (VALUES (-1), (0), (1)) AS x(dx), (VALUES (-1), (0), (1)) AS y(dy) JOIN dem z ON z.i = least(greatest(a.i + dx, 0), 63) AND z.j = least(greatest(a.j + dy, 0), 63) GROUP BY 1, 2)"
 add("d3_despike", lambda s, d: raster.clip(raster.despike(dem(s, d), 64, 64), -100.0, 10.0), f"WITH {fx.CELL}, {_DEM}, {_MED}, cl AS (SELECT i, j, CASE WHEN abs(z - med) > 8 THEN med ELSE z END AS z FROM med) SELECT i, j, z < -100 OR z > 10 AS clipped, least(greatest(z, {D(-100)}), {D(10)}) AS z FROM cl")
 add("d4_infill_nearest", lambda s, d: raster.infill_nearest(dem(s, d)), f"WITH {fx.CELL}, {_DEM}, good AS (SELECT * FROM dem WHERE z <> -9999), gap AS (SELECT * FROM dem WHERE z = -9999), near AS (SELECT gap.i, gap.j, good.z FROM gap JOIN good ON abs(good.i - gap.i) <= 9 AND abs(good.j - gap.j) <= 9 QUALIFY row_number() OVER (PARTITION BY gap.i, gap.j ORDER BY (good.i - gap.i) * (good.i - gap.i) + (good.j - gap.j) * (good.j - gap.j), good.i, good.j) = 1) SELECT i, j, z FROM good UNION ALL SELECT i, j, z FROM near")
@@ -172,4 +177,3 @@ add("d11_burn_channels", lambda s, d: raster.burn_channels(fx.cell(s, d).select(
     f"WITH {fx.CELL}, x AS (SELECT i, j, b, (i + j) % 4 = 0 AND b < 1.0 AS eligible, CASE WHEN (i + j) % 4 = 0 AND i % 8 = 0 THEN b - {D(0.75)} END AS fine FROM cell), y AS (SELECT *, CASE WHEN eligible THEN least(b, greatest(b - {D(0.5)}, {D(0.1)})) ELSE b END AS z0 FROM x) SELECT i, j, CASE WHEN fine IS NOT NULL THEN least(z0, fine) ELSE z0 END AS z, eligible FROM y")
 add("d16_upsample", lambda s, d: raster.upsample(fx.cell(s, d).select("i", "j", F.col("b").alias("z")), s.range(192 * 192).select((F.col("id") / 192).cast("int").alias("i"), (F.col("id") % 192).cast("int").alias("j")), 0.3),
     f"WITH {fx.CELL}, f AS (SELECT CAST(range // 192 AS INT) AS i, CAST(range % 192 AS INT) AS j FROM range(36864)) SELECT f.i, f.j, c.b AS z FROM f JOIN cell c ON c.i = CAST(floor((f.i + {D(0.5)}) * {D(0.3)}) AS INT) AND c.j = CAST(floor((f.j + {D(0.5)}) * {D(0.3)}) AS INT)")
-add("x11_running_peak", lambda s, d: fx.fields(s, d).select("i", "j", F.greatest("ha", "hb").alias("peak"), (F.col("hb") > F.col("ha")).alias("rising")), f"WITH {fx.FIELDS} SELECT i, j, greatest(ha, hb) AS peak, hb > ha AS rising FROM fields")

@@ -43,7 +43,18 @@ def tide_csv(spark, sf_dir: str):
 
 _TIDE = "k AS (SELECT floor(t) AS t, round(v, 3) AS v FROM stage WHERE CAST(floor(t) AS BIGINT) % 5 <> 0)"
 add("s2_tide_csv", tide_csv, f"WITH {fx.STAGE}, {_TIDE} SELECT t, {rounded('v')[0]} FROM k")
-add("s3_tide_by_name", tide_csv, f"WITH {fx.STAGE}, {_TIDE} SELECT t, {rounded('v')[0]} FROM k")
+
+
+def tide_by_name(spark, sf_dir: str):
+    """Columns told apart by name: a preliminary level comes first and must not be taken."""
+    path = _folder(spark)
+    s = fx.stage(spark, sf_dir).withColumn("s", F.floor("t").cast("long"))
+    when = F.date_format(F.timestamp_seconds(F.col("s") + 1704067200), "yyyy-MM-dd HH:mm:ss")
+    s.select(when.alias("Time (GMT)"), F.lit("9.9").alias("Preliminary Level (m)"), F.format_string("%.2f", "v").alias("Verified (m)")).repartition(1).write.option("header", True).csv(path)
+    return shown(csv.tide_csv(spark, path, "2024-01-01 00:00:00", level="Verified (m)"), "v", keys=("t",))
+
+
+add("s3_tide_by_name", tide_by_name, f"WITH {fx.STAGE}, k AS (SELECT floor(t) AS t, round(v, 2) AS v FROM stage) SELECT t, {rounded('v')[0]} FROM k")
 
 
 def case(spark, sf_dir: str):
@@ -137,8 +148,9 @@ add("s10_rain_means", rain_means, f"WITH f AS (SELECT (o_custkey % 24) * {D(3600
 
 def held_step(spark, sf_dir: str):
     """The step kept for K steps, and steps capped by limits and the end of the run."""
-    top = measure.cfl_step(fx.cell(spark, sf_dir), 2.0)
-    return shown(top.select((F.col("dt") * 0.95).alias("held"), F.least("dt", F.lit(0.1)).alias("capped"), F.least(F.greatest("dt", F.lit(5.0)), F.lit(60.0) - F.lit(57.0)).alias("last")), "held", "capped", "last")
+    dt = measure.cfl_step(fx.cell(spark, sf_dir), 2.0).first().dt
+    row = (measure.held_step(dt, 8), measure.next_step(dt, 0.0, 60.0, dt_max=0.1), measure.next_step(dt, 57.0, 60.0, dt_min=5.0))
+    return shown(spark.createDataFrame([row], "held double, capped double, last double"), "held", "capped", "last")
 
 
 _DT = f"l AS ({Program(flow.wave_speed_2d('lam', '1e-06')).sql('cell')}), m AS (SELECT {text(f'1.0 / (greatest(max(lam), {_FLOOR}) + 1e-12)')} AS dt FROM l)"
@@ -150,8 +162,18 @@ add(
 add("j7_flat_ids", lambda s, d: pixels(s).join(mesh.number(disc(s, d).select("i", "j"), "i", "j"), ["i", "j"]).select("g", "k"), f"WITH {fx.CELL}, {_NUM}, {_PIX} SELECT g, k FROM pix JOIN mesh USING (i, j)")
 _BG = stencil.bed_gradient("x", "2.0", "gx") + stencil.bed_gradient("y", "2.0", "gy")
 add("m7_stored_gradients", lambda s, d: shown(Program(_BG).apply(fx.cell(s, d)).join(mesh.dilate(disc(s, d), 64, 64), ["i", "j"]), "gx", "gy", keys=("i", "j")), f"WITH {fx.CELL}, {_RINGS}, gr AS ({Program(_BG).sql('cell')}) SELECT i, j, {', '.join(rounded('gx', 'gy'))} FROM gr JOIN stored USING (i, j)")
-add("h5_stitched_parts", lambda s, d: fx.cell(s, d).where("i < 20").unionByName(fx.cell(s, d).where("i >= 20")).select("i", "j", "h"), f"WITH {fx.CELL} SELECT i, j, h FROM cell")
-add("d5_resampled_bilinear", lambda s, d: shown(raster.bilinear(fx.cell(s, d).select("i", "j", F.col("b").alias("z")), s.range(100 * 100).select((F.col("id") / 100).cast("int").alias("i"), (F.col("id") % 100).cast("int").alias("j")), 0.6, 64, 64), "z", keys=("i", "j")),
+
+
+def stitched(spark, sf_dir: str):
+    """Blocks written apart and put together again."""
+    path = _folder(spark)
+    mesh.blocks(fx.cell(spark, sf_dir), 64, 64, 3, 2).write.partitionBy("bi", "bj").parquet(path)
+    parts = [spark.read.parquet(f"{path}/bi={a}/bj={b}") for a in range(3) for b in range(2)]
+    return mesh.stitch(parts, 64, 64).select("i", "j", "b", "hu", "hv")
+
+
+add("h5_stitched_parts", stitched, f"WITH {fx.CELL} SELECT i, j, b, hu, hv FROM cell")
+add("d5_resampled_bilinear", lambda s, d: shown(raster.resample(fx.cell(s, d).select("i", "j", F.col("b").alias("z")), s.range(100 * 100).select((F.col("id") / 100).cast("int").alias("i"), (F.col("id") % 100).cast("int").alias("j")), 0.6, 64, 64), "z", keys=("i", "j")),
     f"""WITH {fx.CELL}, f AS (SELECT CAST(range // 100 AS INT) AS i, CAST(range % 100 AS INT) AS j, (range // 100 + {D(0.5)}) * {D(0.6)} - {D(0.5)} AS u, (range % 100 + {D(0.5)}) * {D(0.6)} - {D(0.5)} AS v FROM range(10000)),
 g AS (SELECT *, CAST(floor(u) AS INT) AS a, CAST(floor(v) AS INT) AS c FROM f),
 k AS (SELECT g.i, g.j, sum(cell.b * CASE WHEN p.d = 1 THEN u - a ELSE 1 - (u - a) END * CASE WHEN q.e = 1 THEN v - c ELSE 1 - (v - c) END) AS z FROM g, (VALUES (0), (1)) AS p(d), (VALUES (0), (1)) AS q(e) JOIN cell ON cell.i = least(greatest(a + d, 0), 63) AND cell.j = least(greatest(c + e, 0), 63) GROUP BY 1, 2) SELECT i, j, {rounded('z')[0]} FROM k""")

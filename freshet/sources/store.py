@@ -14,6 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or tempfile.mkdtemp(prefix="freshet-")).rstrip("/")
 
 
@@ -22,6 +24,14 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: later plans start from files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p)
@@ -59,6 +69,22 @@ def read_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/{meta['state']}"), meta
 
 
+def write_manifest(spark: SparkSession, path: str, options: dict, **more) -> str:
+    """What a run was started with, as the next numbered JSON file in a folder; returns its path.
+
+    options are any values that print; versions and the session's settings that shape
+    plans go along.
+    """
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.master", "spark.checkpoint.dir")
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)
+    n = sum(s.getPath().getName().startswith("run_manifest_") for s in fs.listStatus(p))
+    place = f"{path}/run_manifest_{n:02d}.json"
+    value = {"options": {k: v if isinstance(v, (int, float, str, bool, list, type(None))) else str(v) for k, v in options.items()}, "spark": spark.version, "settings": {k: spark.conf.get(k, None) for k in keys}}
+    write_json(spark, place, value | more)
+    return place
+
+
 def append_frame(cells: DataFrame, path: str, frame: int, t: float, *values: str) -> None:
     """A depth frame or snapshot, in a partition of its own; writing it again replaces it."""
     cells.select("i", "j", *values).withColumn("t", F.lit(t)).write.mode("overwrite").parquet(f"{path}/frame={frame}")

@@ -9,6 +9,8 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from freshet.operators import temporal
+
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with header, names trimmed, with the order of its lines in _seq."""
@@ -23,7 +25,7 @@ def _number(c):
 def rain_csv(spark: SparkSession, path: str, time: str = "time_s", rate: str = "rate_mm_h") -> DataFrame:
     """(t, v, seq) by time; warns if the file wasn't in order."""
     out = _rows(spark, path).select(_number(F.col(f"`{time}`")).alias("t"), _number(F.col(f"`{rate}`")).alias("v"), F.col("_seq").alias("seq"))
-    if out.withColumn("p", F.lag("t").over(Window.orderBy("seq"))).where("p > t").limit(1).count():
+    if not temporal.out_of_order(out).isEmpty():
         warnings.warn(f"{path}: times were out of order and are sorted", stacklevel=2)
     return out.orderBy("t", "seq")
 
