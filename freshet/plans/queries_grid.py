@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from freshet.functions import flow
 from freshet.functions.program import Program, rounded, text
-from freshet.operators import boundary, measure, mesh, raster
+from freshet.operators import boundary, classes, measure, mesh, raster
 from freshet.plans import fixtures as fx
 from freshet.plans.queries_tables import D, disc, shown, _DISC
 from freshet.plans.registry import add
@@ -62,13 +61,13 @@ def class_table(s):
     return s.createDataFrame([(0, 0.03, 5.0, 0.1), (1, 0.05, 3.0, 0.15), (2, 0.08, 3.0, 0.15), (3, 0.12, 0.0, 0.0), (4, 0.03, 5.0, 0.1)], "cls int, nm double, ks double, psi double")
 
 
-add("j1_manning_by_class", lambda s, d: classed(s, d).join(F.broadcast(class_table(s)), "cls").select("i", "j", "nm"), f"WITH {fx.CELL}, {_CLS} SELECT i, j, nm FROM cls JOIN tab USING (cls)")
-add("j2_parameter_classes", lambda s, d: classed(s, d).join(F.broadcast(class_table(s).withColumn("pc", F.dense_rank().over(Window.orderBy("ks", "psi")) - 1)), "cls").groupBy("pc", "ks", "psi").agg(F.count("*").alias("cells")),
+add("j1_manning_by_class", lambda s, d: classes.by_class(classed(s, d), class_table(s)).select("i", "j", "nm"), f"WITH {fx.CELL}, {_CLS} SELECT i, j, nm FROM cls JOIN tab USING (cls)")
+add("j2_parameter_classes", lambda s, d: classes.by_class(classed(s, d), classes.parameter_classes(class_table(s), "ks", "psi")).groupBy("pc", "ks", "psi").agg(F.count("*").alias("cells")),
     f"WITH {fx.CELL}, {_CLS}, r AS (SELECT *, CAST(dense_rank() OVER (ORDER BY ks, psi) - 1 AS INT) AS pc FROM tab) SELECT pc, ks, psi, count(*) AS cells FROM cls JOIN r USING (cls) GROUP BY ALL")
 add("j3_dictionary", lambda s, d: mesh.encode(fx.cell(s, d).select("i", "j", (F.col("n") % 13).alias("v")), "v")[0].select("i", "j", "v", "cls"), f"WITH {fx.CELL}, v AS (SELECT i, j, n % 13 AS v FROM cell) SELECT i, j, v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INT) AS cls FROM v")
-add("j11_class_guard", lambda s, d: classed(s, d).join(F.broadcast(class_table(s)), "cls", "left").agg(F.count_if(F.col("nm").isNull()).alias("missing"), F.max("cls").alias("top")), f"WITH {fx.CELL}, {_CLS} SELECT count(*) FILTER (nm IS NULL) AS missing, max(cls) AS top FROM cls LEFT JOIN tab USING (cls)")
+add("j11_class_guard", lambda s, d: classes.guard(classed(s, d), class_table(s).where("cls <> 3")), f"WITH {fx.CELL}, {_CLS} SELECT count(*) FILTER (cls = 3) AS missing, max(cls) AS top FROM cls")
 _BANDS = "CASE WHEN nm >= 0.026 AND nm < 0.0455 THEN {a} WHEN nm >= 0.0455 AND nm < 0.0805 THEN {b} ELSE {z} END"
-add("f18_infiltration_bands", lambda s, d: shown(classed(s, d).join(F.broadcast(class_table(s).select("cls", "nm")), "cls").select("i", "j", *[F.expr(text(_BANDS.format(a=a, b=b, z="0.0")) + f" AS {k}") for k, a, b in (("ks", "5.0", "3.0"), ("psi", "0.1", "0.15"), ("dth", "0.3", "0.3"))], F.expr(text("least(greatest(b - 0.2, 0.0), 1.0) * 0.3") + " AS f_max")), "ks", "psi", "dth", "f_max", keys=("i", "j"), digits=12),
+add("f18_infiltration_bands", lambda s, d: shown(classes.infiltration(classes.by_class(classed(s, d), class_table(s).select("cls", "nm")), 0.2, 1.0, 0.3), "ks", "psi", "dth", "f_max", keys=("i", "j"), digits=12),
     f"WITH {fx.CELL}, {_CLS}, x AS (SELECT i, j, " + ", ".join(text(_BANDS.format(a=a, b=b, z="0.0")) + f" AS {k}" for k, a, b in (("ks", "5.0", "3.0"), ("psi", "0.1", "0.15"), ("dth", "0.3", "0.3"))) + f", {text('least(greatest(b - 0.2, 0.0), 1.0) * 0.3')} AS f_max FROM cls JOIN tab USING (cls)) SELECT i, j, {', '.join(rounded('ks', 'psi', 'dth', 'f_max', digits=12))} FROM x")
 
 # The active mesh

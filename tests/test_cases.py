@@ -101,3 +101,18 @@ def test_step_rules():
     for bad in (float("nan"), float("inf"), None):
         with pytest.raises(FloatingPointError):
             measure.finite(bad)
+
+
+def test_class_tables(spark):
+    from freshet.operators import classes
+
+    c = spark.createDataFrame([(0, 0, 1, 0.03, 5.0), (0, 1, 2, 0.05, 0.1), (1, 0, 2, 0.3, 9.0)], "i int, j int, unit int, nm double, b double")
+    t = spark.createDataFrame([(1, 0.5), (2, 0.7)], "unit int, v double")
+    assert sorted(r.v for r in classes.by_class(c, t, "unit").collect()) == [0.5, 0.7, 0.7]
+    for bad in (t.where("unit = 1"), t.unionByName(t), spark.range(300).select(F.col("id").cast("int").alias("unit"), F.lit(1.0).alias("v"))):
+        with pytest.raises(ValueError):
+            classes.by_class(c, bad, "unit")
+    x = classes.infiltration(c, 0.2, 1.0, 0.3, ks_scale=2.0)
+    assert [(r.ks, r.psi, round(r.f_max, 6)) for r in x.orderBy("i", "j").collect()] == [(10.0, 0.1, 0.3), (6.0, 0.15, 0.0), (0.0, 0.0, 0.3)]
+    u = spark.createDataFrame([(2, 1.0, 2.0, 3.0)], "unit int, ks double, psi double, dth double")
+    assert [r.ks for r in classes.soil_units(x, u).orderBy("i", "j").collect()] == [10.0, 1.0, 1.0]
