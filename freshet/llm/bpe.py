@@ -32,7 +32,7 @@ from freshet.llm.common import ship, texts
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[^{_SPACE}]+")
 #: Entries of each worker's tables, of words as they stand and of lower-case pieces.
-WORDS_KEPT, PIECES_KEPT = 200_000, 400_000
+WORDS_KEPT, PIECES_KEPT = 100_000, 150_000
 
 
 def byte_symbols() -> list[str]:

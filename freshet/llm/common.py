@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED = "freshet.shipped.application"
-#: Texts held as Python strings at a time.
-ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch, and texts held as Python strings at a time.
+BATCH, ROWS = 1000, 500
 _DDL = {
     pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.string(): "string", pa.binary(): "binary",
     pa.list_(pa.int32()): "array<int>", pa.list_(pa.int64()): "array<long>", pa.list_(pa.float64()): "array<double>",
@@ -29,8 +30,11 @@ _ARROW = {v: k for k, v in _DDL.items()} | {"struct<name:string,score:double>":
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor (once per application).
 
-    Spark's own file server carries the archive, so no shared folder is needed.
+    Spark's own file server carries the archive, so no shared folder is needed. Texts are
+    long, so rows go to Python ``BATCH`` at a time unless the session says otherwise.
     """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH)
     app = spark.sparkContext.applicationId
     if os.environ.get(_SHIPPED) == app:
         return
@@ -158,6 +162,8 @@ def join_lowest(rows: DataFrame, sized: DataFrame, key: str, total: int) -> Data
     no key is large.
     """
     most = max(HOT_ROWS, -(-total // HOT))
+    if sized.where(F.col("n") > most).isEmpty():
+        return rows.join(sized.drop("n"), key)
     hot = F.broadcast(sized.where(F.col("n") > most).drop("n"))
     rest = rows.join(hot.select(key), key, "left_anti")
     return rows.join(hot, key).unionByName(rest.join(sized.where(F.col("n") <= most).drop("n"), key))
@@ -169,19 +175,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Returns (node, root): the smallest node id of each component, for nodes other than
     the root. Edges stay distributed; each round ends in a reliable checkpoint, and the
     only thing that reaches the driver is a count and a sum per round. Nodes with very many
-    edges are joined where their edges lie. Self loops and repeated edges are allowed; an
-    empty list gives an empty result. The rounds needed grow with the logarithm of the
-    nodes; more than ``max_rounds`` raise RuntimeError.
+    edges: minima meet edges through a key of their own, so that the join reads plain
+    exchanges, which the engine splits where they are skewed. Self loops and repeated edges
+    are allowed; an empty list gives an empty result. The rounds needed grow with the
+    logarithm of the nodes; more than ``max_rounds`` raise RuntimeError.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = cut(e)
-    seen = (e.count(), None)
+    seen = None
+    key = F.col("u").bitwiseXOR(F.lit(1).cast("long"))
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = cut(join_lowest(both, cut(low), "u", 2 * seen[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_lowest(large, cut(low), "u", 2 * seen[0])
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(key.alias("k"), F.least("u", "m").alias("m"))
+        large = both.withColumn("k", key).join(low, "k").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(key.alias("k"), "m")
+        small = large.withColumn("k", key).join(low, "k")
         pair = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         e = cut(small.select(F.explode(pair).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -222,7 +230,7 @@ class Marks:
 
         table = np.zeros((pieces, size // 8), np.uint8)
         dealt = keys.select("k").repartition(pieces, F.shiftrightunsigned("k", 58).cast("int"))
-        for r in dealt.mapInArrow(run, "p int, b binary").toLocalIterator():  # PIECES rows of fixed size
+        for r in dealt.mapInArrow(run, "p int, b binary").collect():  # PIECES rows of fixed size
             table[r.p] |= np.frombuffer(r.b, np.uint8)
         self.size, self.table = size, spark.sparkContext.broadcast(table)
 

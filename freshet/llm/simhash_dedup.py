@@ -33,9 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import Marks, components, cut, join_lowest, map_texts, ship, texts, whole_rows
+from freshet.llm.common import components, cut, map_texts, ship, texts, whole_rows
 
 RADIUS, BLOCKS, CHUNK, SHINGLE, SEED = 4, 6, 4096, 4, 42
+#: Ids that may be broadcast (about 24 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(text: str, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -225,27 +227,19 @@ def keep_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """One row of docs for each group of marked (doc_id, td, grp), td being the text's digest.
 
     It is the row with the smallest doc_id, then digest; of rows that repeat both, one
-    stays. Rows without doc_id all stay. Only rows that a filter of fixed size takes for
-    such as go or repeat are shuffled; the others stay where they are.
+    stays. Rows without doc_id all stay. Up to ``BROADCAST_IDS`` rows to leave out are
+    broadcast, more meet docs by a shuffle.
     """
     rows = cut(marked.where("doc_id is not null").groupBy("grp", "doc_id", "td").agg(F.count("*").alias("times")))
-    sized = cut(rows.groupBy("grp").agg(F.min(F.struct("doc_id", "td")).alias("f"), F.count("*").alias("n")).where("n > 1"))
-    mixed = join_lowest(rows, sized, "grp", rows.count()).select("doc_id", "td", (F.struct("doc_id", "td") != F.col("f")).alias("gone")).where("gone")
-    again = rows.where("times > 1").select("doc_id", "td", F.lit(False).alias("gone"))
-    told = cut(mixed.unionByName(again).groupBy("doc_id", "td").agg(F.max("gone").alias("gone")))
-    key = F.xxhash64("doc_id", "td")
-    marks = Marks(told.select(key.alias("k")), told.count())
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("boolean")
-    def hit(k: pd.Series) -> pd.Series:
-        return pd.Series(marks.hits(k.to_numpy(np.int64)))
-
-    seen = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("td")).withColumn("hit", hit(key))
-    calm = seen.where("not hit").select("row.*")
-    asked = seen.where("hit").join(told, ["doc_id", "td"], "left")
-    once = asked.where("not gone").dropDuplicates(["doc_id", "td"]).select("row.*")
-    return calm.unionByName(asked.where("gone is null").select("row.*")).unionByName(once)
+    first = cut(rows.groupBy("grp").agg(F.min(F.struct("doc_id", "td")).alias("f")))
+    told = rows.join(first, "grp").select("doc_id", "td", (F.struct("doc_id", "td") != F.col("f")).alias("gone"), "times")
+    told = cut(told.where("gone or times > 1").groupBy("doc_id", "td").agg(F.max("gone").alias("gone")))
+    if told.count() <= BROADCAST_IDS:
+        told = F.broadcast(told)
+    plain = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("td"))
+    seen = plain.join(told, ["doc_id", "td"], "left").where("gone is null or not gone")
+    once = seen.where("gone is not null").dropDuplicates(["doc_id", "td"])
+    return seen.where("gone is null").select("row.*").unionByName(once.select("row.*"))
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
