@@ -229,15 +229,17 @@ class Marks:
             yield record(fields, (list(held), [np.packbits(v, bitorder="little").tobytes() for v in held.values()]))
 
         table = np.zeros((pieces, size // 8), np.uint8)
-        dealt = keys.select("k").repartition(pieces, F.shiftrightunsigned("k", 58).cast("int"))
+        mixed = F.col("k").bitwiseXOR(F.shiftleft("k", 23)).bitwiseXOR(F.shiftleft("k", 41))
+        dealt = keys.select("k").repartition(pieces, F.shiftrightunsigned(mixed, 58).cast("int"))
         for r in dealt.mapInArrow(run, "p int, b binary").collect():  # PIECES rows of fixed size
             table[r.p] |= np.frombuffer(r.b, np.uint8)
         self.size, self.table = size, spark.sparkContext.broadcast(table)
 
     @staticmethod
     def _place(k: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Part of the filter and two places in it."""
+        """Part of the filter and two places in it; keys may be least hashes, so their high bits are mixed."""
         k = np.asarray(k).view(np.uint64)
+        k = k ^ (k << np.uint64(23)) ^ (k << np.uint64(41))
         other = (k ^ (k >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (k >> np.uint64(58)).astype(np.int64), ((k >> np.uint64(8)) % np.uint64(size)).astype(np.int64), ((other >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
 
