@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from freshet.llm import near_copies, simhash_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,3 +64,54 @@ def test_simhash_keep_one_decides_by_row(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     out = simhash_dedup.keep_one(df)
     assert sorted(((x.doc_id or 0), x.text) for x in out.collect()) == [(0, long), (1, long), (5, rows[2][1]), (7, "once only")]
+
+
+def test_simhash_keys_meet_what_is_similar():
+    """Pairs at 0.8 share a cell and lie within the radius; a task tells of no more edges than nodes."""
+    r = np.random.default_rng(5)
+    for n, same in ((9, 8), (45, 40), (300, 267)):
+        base = r.integers(0, 1 << 64, (200, 2 * n - same), dtype=np.uint64)
+        e = np.zeros(400, near_copies._ENTRY)
+        e["node"], e["n"] = np.arange(400), n
+        for k, h in enumerate(base):
+            for at, part in ((k, h[:n]), (k + 200, h[n - same :])):
+                e["fp"][at] = np.frombuffer(near_copies.fingerprint(part), "<u8")
+        met = set()
+        for key in range(near_copies.KEYS):
+            value = near_copies._sampled(e["fp"], near_copies._KEY[key])
+            for v in np.unique(value):
+                held = e[value == v]
+                a, b = near_copies.Held(held, key).forest()
+                assert len(a) < len(held)
+                met |= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+        assert met == {(k, k + 200) for k in range(200)}
+
+
+def test_large_groups_by_parts(spark, monkeypatch):
+    """A large group of near copies, many under the similarity: few edges, and the same groups in parts as in one."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        v = list(base)
+        for _ in range(r.choice([1, 3, 4, 6])):
+            v[r.randrange(150)] = f"z{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], SCHEMA)
+    want = sorted(sorted(g) for g in brute_groups(docs).values())
+    edges, links = [], near_copies.links
+
+    def counted(*args):
+        found = links(*args)
+        edges.append((found.count(), args[0].agg({"parts": "max"}).first()[0]))
+        return found
+
+    monkeypatch.setattr(near_copies, "links", counted)
+    for weight in (near_copies.WEIGHT, 5000):
+        monkeypatch.setattr(near_copies, "WEIGHT", weight)
+        got = {}
+        for x in near_copies.near_groups(df).collect():
+            got.setdefault(x.grp, []).append(x.doc_id)
+        assert sorted(sorted(g) for g in got.values()) == want
+    assert edges[0][1] == 1 < edges[1][1] and edges[0][0] == len(docs) - len(want)
