@@ -33,6 +33,8 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[^{_SPACE}]+")
 #: Entries of each worker's tables, of words as they stand and of lower-case pieces.
 WORDS_KEPT, PIECES_KEPT = 100_000, 150_000
+#: Entries of the tables of counts, about 100 bytes each.
+COUNTS_KEPT = 400_000
 
 
 def byte_symbols() -> list[str]:
@@ -44,6 +46,22 @@ def byte_symbols() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+class Counts(dict):
+    """Numbers of tokens of chunks of text, kept as they are asked for; cleared when full."""
+
+    def __init__(self, count, most: int):
+        super().__init__()
+        self.count, self.most = count, most
+
+    def __missing__(self, chunk: str) -> int:
+        n = self.count(chunk)
+        if len(chunk) <= 48:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = n
+        return n
+
+
 class Bpe:
     """Encoder and decoder built from a tokenizer file's content."""
 
@@ -66,7 +84,8 @@ class Bpe:
         self.pieces_kept: dict[str, tuple[str, str]] = {}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept: dict[str, tuple[str, str]] = {}
-        self.counts: dict[str, int] = {}
+        self.counts = Counts(self._count_word, COUNTS_KEPT)
+        self.piece_counts = Counts(lambda piece: len(self.merge(piece)), COUNTS_KEPT)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-token, merged by rank and then by position.
@@ -112,11 +131,14 @@ class Bpe:
                 self.pieces_kept[piece] = made
         return made
 
-    def _word(self, chunk: str) -> tuple[str, str]:
-        """Ids and vocabulary strings, each joined by blanks, of text without white space."""
+    def _plain(self, chunk: str) -> str:
         plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
         # letter by letter, so that a final sigma is no special case
-        plain = plain.lower() if "\u03a3" not in plain else "".join([c.lower() for c in plain])
+        return plain.lower() if "\u03a3" not in plain else "".join([c.lower() for c in plain])
+
+    def _word(self, chunk: str) -> tuple[str, str]:
+        """Ids and vocabulary strings, each joined by blanks, of text without white space."""
+        plain = self._plain(chunk)
         if plain.isalpha():
             made = self._piece(plain)
         elif plain[-1] in ",." and plain[:-1].isalpha():
@@ -147,22 +169,20 @@ class Bpe:
         return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
     def count(self, text: str) -> int:
-        """The number of ids of a text; counts of words are kept like the words."""
+        """The number of ids of a text; counts of words and pieces are kept."""
         if self.split_special and "<|" in text:
             coded = self.coded(text)[0]
             return coded.count(" ") + 1 if coded else 0
-        counts, total = self.counts, 0
-        for c in _CHUNKS.findall(text):
-            n = counts.get(c)
-            if n is None:
-                made = self._word(c)[0]
-                n = made.count(" ") + 1 if made else 0
-                if len(c) <= 48:
-                    if len(counts) >= WORDS_KEPT:
-                        counts.clear()
-                    counts[c] = n
-            total += n
-        return total
+        return sum(map(self.counts.__getitem__, _CHUNKS.findall(text)))
+
+    def _count_word(self, chunk: str) -> int:
+        """The number of ids of text without white space, without the ids."""
+        plain, counts = self._plain(chunk), self.piece_counts
+        if plain.isalpha():
+            return counts[plain]
+        if plain[-1] in ",." and plain[:-1].isalpha():
+            return counts[plain[:-1]] + counts[plain[-1]]
+        return sum(map(counts.__getitem__, self.pieces.findall(plain)))
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.coded(text)[0].split()]
