@@ -31,7 +31,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import cut
+from freshet.llm.common import cut, written
 
 LEAST = 0.6
 _GPL_NOTICE = (
@@ -125,9 +125,10 @@ def check_templates() -> float:
     return max(math.sqrt(x) for x in alone.values())
 
 
-#: (1 + ln c)^2 / c is 4 / e at most, so n known words weigh at most 4 / e * n * UNKNOWN^2.
-_WORTH = 4 / math.e * (1 / LEAST**2 - 1)
-SHARE = _WORTH / (1 + _WORTH) + 1e-9
+#: (1 + ln c)^2 / c is 4 / e at most, so known words weigh at most 4 / e times the sum of their squared idf.
+_WORTH = 4 / math.e * (1 / LEAST**2 - 1) * (1 + 1e-5)  # scores are rounded to 6 digits
+#: Upper bounds of the classes of idf by which that sum is bounded.
+_BOUNDS = sorted({sorted(IDF.values())[k * (len(IDF) - 1) // 5] for k in range(1, 6)})
 
 
 def _rows(spark: SparkSession, names: str, rows) -> DataFrame:
@@ -154,13 +155,23 @@ def units(text, whole):
     plain = F.transform(parts, stripped)
     blocks = F.split(F.array_join(plain, "\n"), _BLANK)
     file = F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))
-    return F.concat(told(0, file), told(1, runs), told(2, blocks), told(3, plain))
+    # equal units score alike and the first kind decides, so later kinds need not repeat them
+    kinds, seen = [told(0, file)], file
+    for kind, a in enumerate((runs, blocks, plain), 1):
+        kinds.append(told(kind, F.array_except(a, seen)))
+        seen = F.array_union(seen, a)
+    return F.concat(*kinds)
 
 
 def may_match(line):
-    """False only for what can't reach LEAST."""
+    """False only for what can't reach LEAST: each unknown word weighs UNKNOWN at least, known words as by _WORTH."""
     w = words(line)
-    return (F.size(w) > 0) & (F.size(F.array_except(w, F.array(*map(F.lit, sorted(IDF))))) <= F.lit(SHARE) * F.size(w))
+    worth, low = F.lit(0.0), 0.0
+    for top in _BOUNDS:
+        of = [t for t, v in sorted(IDF.items()) if low < v <= top]
+        worth, low = worth + F.size(F.filter(w, lambda x: x.isin(of))) * F.lit(top * top), top
+    unknown = F.size(F.array_except(w, F.array(*map(F.lit, sorted(IDF)))))
+    return (worth > 0) & (unknown * F.lit(UNKNOWN**2) <= worth * F.lit(_WORTH))
 
 
 def digest(line) -> F.Column:
@@ -190,7 +201,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     content = F.array(*map(F.lit, sorted(set(IDF) - set(STOP))))
     asked = plain.where(F.arrays_overlap(F.split(F.lower("text"), _BREAK), content))
     found = asked.select("doc_id", "path", F.explode(units(F.col("text"), whole)).alias("u")).select("doc_id", "path", "u.kind", "u.line").where(may_match(F.col("line")))
-    found = cut(found.withColumn("key", digest(F.col("line"))))
+    found = written(found.withColumn("key", digest(F.col("line"))))
     told = score_lines(found.select("key", "line"), least)
     own = found.select("doc_id", "path", "kind", "key").join(told, "key").groupBy("doc_id", "path").agg(F.min(F.struct("kind", (-F.col("score")).alias("s"), "license")).alias("b"))
     own = cut(own.select(F.col("doc_id").alias("_d"), F.col("path").alias("_p"), F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score")))

@@ -107,3 +107,16 @@ def test_chunk_counts_are_the_encoders():
         assert words.count(text) == len(bpe.Bpe.encode(words, text))
     fresh = bpe.Bpe(bpe.read_spec(public_tokenizers.path("word_bpe_49k.json")))
     assert fresh.count("uncommonlymadeword, and another") > 3 and not fresh.pieces_kept
+
+
+def test_license_units_go_once_and_prose_is_passed_over(spark):
+    """Equal units go with their first kind only; few known words beside unknown ones are no reason to score."""
+    from freshet.llm import licenses
+
+    text = "Licensed under the MIT License.\nThe cat sat on the mat and the big dog ran to the red house, garden fence, barn for a walk"
+    df = spark.createDataFrame([("Licensed under the MIT License.",), (text,)], "text string")
+    found = df.select("text", F.explode(licenses.units(F.col("text"), F.lit(True))).alias("u")).select("text", "u.kind", "u.line").where("trim(line) <> ''").collect()
+    assert [(x.kind, x.line) for x in found if x.text != text] == [(0, "Licensed under the MIT License.")]
+    assert len({x.line for x in found if x.text == text}) == len([x for x in found if x.text == text])
+    kept = spark.createDataFrame([(x,) for x in text.split("\n")], "line string").where(licenses.may_match(F.col("line"))).collect()
+    assert [x.line for x in kept] == ["Licensed under the MIT License."]
