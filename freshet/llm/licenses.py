@@ -11,8 +11,10 @@ by joining its ancestor directories on equality.
 
 Scale. What can't reach ``LEAST`` is passed over row by row, with no loss: a text without
 any content term of the templates (what the other terms weigh in a template is under
-LEAST of it, which ``check_templates`` holds), and a unit in which terms unknown to the
-templates outweigh what the known ones can be worth. Each different unit left is scored
+LEAST of it, which ``check_templates`` holds; one pattern looks for them), and a unit in
+which terms unknown to the templates outweigh what the known ones can be worth. What a
+text is split into is made once (``_let``): the engine repeats what an expression names
+twice. Each different unit left is scored
 once, however many files repeat it. The templates are a fixed list and are broadcast.
 Joins on units and directories are equality joins with small other sides, which the
 engine may split if skewed.
@@ -76,7 +78,7 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 #: Frequent words that alone never make a template match.
-STOP = "a all and at be for if in into is not of on that the this to was with".split()
+STOP = "a above all and any are as at be by do files for from has if in into is it its may must not of on other person so that the this to used was with".split()
 FILE_NAMES = "(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 #: Patterns that mean the same to Java and RE2.
 _BREAK = "[^a-z0-9]+"
@@ -136,6 +138,27 @@ def _rows(spark: SparkSession, names: str, rows) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
+def _any_of(terms) -> str:
+    """A pattern for texts in lower case that hold one of the terms; what stands in a place is tried by its letters, not term by term."""
+
+    def told(rest: list[str]) -> str:
+        tails: dict[str, list[str]] = {}
+        for x in rest:
+            if x:
+                tails.setdefault(x[0], []).append(x[1:])
+        parts = [c + told(sorted(v)) for c, v in sorted(tails.items())]
+        made = parts[0] if len(parts) == 1 and "" not in rest else f"(?:{'|'.join(parts)})" if parts else ""
+        return made + "?" if parts and "" in rest else made
+
+    first = "".join(sorted({x[0] for x in terms}))
+    return f"(?<![a-z0-9])(?=[{first}]){told(sorted(terms))}(?![a-z0-9])"
+
+
+def _let(value, made):
+    """made(value), with value evaluated once however often made() uses it."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def words(c):
     return F.filter(F.split(F.lower(c), _BREAK), lambda w: w != "")
 
@@ -146,32 +169,34 @@ def stripped(line):
 
 def units(text, whole):
     """Array of (kind, line): the units of a text; kinds in the order in which they decide."""
-    parts = F.split(text, "\n")
+    file = F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))
 
     def told(kind: int, a):
         return F.transform(a, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("line")))
 
-    runs = F.split(F.array_join(F.transform(parts, lambda x: F.when(x.rlike(_COMMENT), stripped(x)).otherwise(_BETWEEN)), "\n"), _BETWEEN)
-    plain = F.transform(parts, stripped)
-    blocks = F.split(F.array_join(plain, "\n"), _BLANK)
-    file = F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))
-    # equal units score alike and the first kind decides, so later kinds need not repeat them
-    kinds, seen = [told(0, file)], file
-    for kind, a in enumerate((runs, blocks, plain), 1):
-        kinds.append(told(kind, F.array_except(a, seen)))
-        seen = F.array_union(seen, a)
-    return F.concat(*kinds)
+    def split_up(parts, plain):
+        marked = F.transform(parts, lambda x, i: F.when(x.rlike(_COMMENT), F.get(plain, i)).otherwise(_BETWEEN))
+        runs, blocks = F.split(F.array_join(marked, "\n"), _BETWEEN), F.split(F.array_join(plain, "\n"), _BLANK)
+        # equal units score alike and the first kind decides, so later kinds need not repeat them
+        return _let(runs, lambda r: _let(blocks, lambda b: F.concat(
+            told(0, file), told(1, F.array_except(r, file)), told(2, F.array_except(b, F.concat(file, r))), told(3, F.array_except(plain, F.concat(file, r, b))),
+        )))
+
+    return _let(F.split(text, "\n"), lambda parts: _let(F.transform(parts, stripped), lambda plain: split_up(parts, plain)))
 
 
 def may_match(line):
     """False only for what can't reach LEAST: each unknown word weighs UNKNOWN at least, known words as by _WORTH."""
-    w = words(line)
-    worth, low = F.lit(0.0), 0.0
-    for top in _BOUNDS:
-        of = [t for t, v in sorted(IDF.items()) if low < v <= top]
-        worth, low = worth + F.size(F.filter(w, lambda x: x.isin(of))) * F.lit(top * top), top
-    unknown = F.size(F.array_except(w, F.array(*map(F.lit, sorted(IDF)))))
-    return (worth > 0) & (unknown * F.lit(UNKNOWN**2) <= worth * F.lit(_WORTH))
+
+    def weighed(w, known):
+        worth, low = F.lit(0.0), 0.0
+        for top in _BOUNDS:
+            of = [t for t, v in sorted(IDF.items()) if low < v <= top]
+            worth, low = worth + F.size(F.filter(known, lambda x: x.isin(of))) * F.lit(top * top), top
+        unknown = F.size(F.array_except(w, F.array(F.lit(""), *map(F.lit, sorted(IDF)))))
+        return (F.size(known) > 0) & (unknown * F.lit(UNKNOWN**2) <= worth * F.lit(_WORTH))
+
+    return _let(F.split(F.lower(line), _BREAK), lambda w: _let(F.filter(w, lambda x: x.isin(sorted(IDF))), lambda known: weighed(w, known)))
 
 
 def digest(line) -> F.Column:
@@ -198,8 +223,7 @@ def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, path, own_license, own_score, license, origin) for files (doc_id, path, text)."""
     plain = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = F.col("path").isNotNull() & F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES)
-    content = F.array(*map(F.lit, sorted(set(IDF) - set(STOP))))
-    asked = plain.where(F.arrays_overlap(F.split(F.lower("text"), _BREAK), content))
+    asked = plain.where(F.lower("text").rlike(_any_of(set(IDF) - set(STOP))))
     found = asked.select("doc_id", "path", F.explode(units(F.col("text"), whole)).alias("u")).select("doc_id", "path", "u.kind", "u.line").where(may_match(F.col("line")))
     found = written(found.withColumn("key", digest(F.col("line"))))
     told = score_lines(found.select("key", "line"), least)

@@ -120,3 +120,21 @@ def test_license_units_go_once_and_prose_is_passed_over(spark):
     assert len({x.line for x in found if x.text == text}) == len([x for x in found if x.text == text])
     kept = spark.createDataFrame([(x,) for x in text.split("\n")], "line string").where(licenses.may_match(F.col("line"))).collect()
     assert [x.line for x in kept] == ["Licensed under the MIT License."]
+
+
+def test_license_filters_are_cheap_and_lose_nothing(spark):
+    """Everyday prose is passed over as a text, the pattern of content terms finds just those, and a unit's words are split once."""
+    from freshet.llm import licenses
+
+    content = set(licenses.IDF) - set(licenses.STOP)
+    assert licenses.check_templates() < licenses.LEAST - 1e-6
+    assert not content & set("the of and to a in is it that for was on with as be by at this are from do its may so has any".split())
+    r = random.Random(9)
+    signs = ["\n", " ", "_", "-", "x", "7", "s", "\u212a", "\u0130", "\u00e9", "// "]
+    texts = [r.choice(signs) + w + r.choice(signs) for w in sorted(licenses.IDF) for _ in range(4)] + ["", "Mit", "GNU", "gnus", "xmit", "v", "vers", "licensed", "license7"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = {x.text for x in df.where(F.lower("text").rlike(licenses._any_of(content))).collect()}
+    told = {x.text for x in df.where(F.arrays_overlap(F.split(F.lower("text"), licenses._BREAK), F.array(*map(F.lit, sorted(content))))).collect()}
+    assert got == told and 0 < len(got) < len(set(texts))
+    plan = df.where(licenses.may_match(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
