@@ -41,7 +41,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -52,9 +51,13 @@ from freshet.llm.common import Marks, cut, ddl, join_lowest, map_texts, record,
 WINDOW, GRAM = 13, 6
 #: Words of a shard, different segments of an anchor before it is cut up, words hashed together.
 REFERENCE, SPLIT, SLICE = 100_000, 2000, 200_000
+#: Bytes hashed together.
+BLOCK = 1 << 18
 #: Repeated anchors for each pass.
 FILTER_KEYS = 50_000_000
 _ODD = [int(x) | 1 for x in np.random.default_rng(1313).integers(1, 1 << 63, 64, dtype=np.uint64)]
+_SIGNS = np.random.default_rng(1314).integers(1, 1 << 63, 256, dtype=np.uint64)
+_POWERS = [np.empty(0, np.uint64)] * 2
 
 
 def split(text: str) -> list[bytes]:
@@ -81,14 +84,13 @@ def rolling(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
 
 def anchors(grams: np.ndarray, span: int) -> np.ndarray:
     """For each run of ``span`` grams, the place of its least (the last of equals)."""
-    n = len(grams) - span + 1
-    place = np.arange(n)
-    least = grams[:n].copy()
-    for j in range(1, span):
-        other = grams[j : j + n]
-        lower = other <= least
-        least = np.where(lower, other, least)
-        place = np.where(lower, np.arange(j, j + n), place)
+    least, place, width = grams, np.arange(len(grams)), 1
+    while width < span:  # two runs of the width so far make a longer one
+        step = min(width, span - width)
+        n = len(least) - step
+        lower = least[step:] <= least[:n]
+        least, place = np.where(lower, least[step:], least[:n]), np.where(lower, place[step:], place[:n])
+        width += step
     return place
 
 
@@ -157,25 +159,61 @@ def covered(lengths: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-def _hashed(column):
-    """(place, words, word hashes) of each text; equal words of a group are hashed once."""
-    group, n = [], 0
-    total = len(column)
-    for i, t in enumerate(column):
-        group.append((i, split(t)))
-        n += len(group[-1][1])
-        if n >= SLICE or i == total - 1:
-            flat = np.array([w for _, ws in group for w in ws], dtype=object)
-            if len(flat):
-                at, unique = pd.factorize(flat)
-                h = np.array([xxhash.xxh64_intdigest(w, 5) for w in unique], np.uint64)[at]
-            else:
-                h = np.empty(0, np.uint64)
-            start = 0
-            for i_, ws in group:
-                yield i_, ws, h[start : start + len(ws)]
-                start += len(ws)
-            group, n = [], 0
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(max(n, BLOCK) - 1, x, np.uint64))) for x in (_ODD[62], pow(_ODD[62], -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_hashes(line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of each word of a line of words joined by one space; about ``BLOCK`` bytes at a time."""
+    signs = np.frombuffer(line, np.uint8)
+    gaps = np.flatnonzero(signs == 32)
+    begin, end = np.append(0, gaps + 1), np.append(gaps, len(signs))
+    h, at = np.empty(len(begin), np.uint64), 0
+    while at < len(begin):
+        low = begin[at]
+        stop = max(at + 1, int(np.searchsorted(end, low + BLOCK, "right")))
+        up, down = _powers(int(end[stop - 1] - low) + 1)
+        total = np.zeros(len(up), np.uint64)
+        np.cumsum(_SIGNS[signs[low : end[stop - 1]]] * up[:-1], out=total[1:])
+        b = begin[at:stop] - low
+        h[at:stop] = (total[end[at:stop] - low] - total[b]) * down[b]
+        at = stop
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_ODD[61])
+    return begin, end, h ^ (h >> np.uint64(29))
+
+
+def passages(lines: list[bytes], sizes: np.ndarray, window: int, gram: int):
+    """Passages of texts, ``SLICE`` words or more at a time: (line, text, anchor, at, n, begin, end), all but the line as arrays.
+
+    Texts are words joined by one space, and the number of their words. A passage is the
+    words of neighbouring windows with one anchor, and never reaches over the end of a
+    text: n words of a text from the word ``at`` on, the bytes from begin to end of a line.
+    """
+    span, cuts, total = window - gram + 1, [0], 0
+    for i, n in enumerate(sizes.tolist()):
+        total += n
+        if total >= SLICE or i == len(sizes) - 1:
+            cuts.append(i + 1)
+            total = 0
+    for low, high in zip(cuts, cuts[1:]):
+        size = sizes[low:high]
+        if size.sum() < window:
+            continue
+        line = b" ".join([x for x in lines[low:high] if x])
+        begin, end, h = word_hashes(line)
+        grams = rolling(h, gram)
+        place = anchors(grams, span)
+        text = np.repeat(np.arange(len(size)), size)
+        starts = np.flatnonzero(text[: len(place)] == text[window - 1 :])
+        if len(starts):
+            new = np.flatnonzero(np.diff(place[starts], prepend=-1))
+            first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1] + window
+            own = text[first]
+            yield line, own + low, grams[place[first]], first - (np.cumsum(size) - size)[own], last - first, begin[first], end[last - 1]
 
 
 def _key(digests: list[bytes]) -> np.ndarray:
@@ -215,34 +253,40 @@ def first_texts(plain: DataFrame, sized: DataFrame) -> tuple[DataFrame, Marks]:
     return written(asked.groupBy("digest").agg(F.min(F.struct("doc_id", "text")).alias("f")).select("f.*")), marks
 
 
-def single(marks: Marks):
-    """The places of a slice of texts whose words the filter doesn't take for copied."""
-    return lambda column: np.flatnonzero(~marks.hits(_key([sha(split(t)) for t in column])))
-
-
 def scanned(plain: DataFrame, firsts: DataFrame, marks: Marks, made, schema: str) -> DataFrame:
-    """made(batches of doc_id and text) over the texts without copies and the first of those with copies."""
-    alone = single(marks)
+    """made(slices of texts) over the texts without copies and the first of those with copies.
 
-    def run(batches):
-        def left():
+    A slice is (doc_id, lines, sizes, dk): ids in Arrow, words joined by one space, their
+    numbers, and 64 bits of their digests.
+    """
+
+    def read(alone: bool):
+        def told(batches):
             for part in slices(batches):
-                yield part.take(pa.array(alone(part.column("text").to_pylist()), pa.int64()))
+                lists = [split(t) for t in part.column("text").to_pylist()]
+                sizes, lines = np.array([len(w) for w in lists], np.int64), [b" ".join(w) for w in lists]
+                ids, dk = part.column("doc_id"), _key([hashlib.sha256(x).digest() for x in lines])
+                if alone:
+                    left = np.flatnonzero(~marks.hits(dk))
+                    ids, lines, sizes, dk = ids.take(pa.array(left, pa.int64())), [lines[i] for i in left.tolist()], sizes[left], dk[left]
+                yield ids, lines, sizes, dk
 
-        yield from made(left())
+        return lambda batches: made(told(batches))
 
-    whole = plain.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
-    return whole.unionByName(firsts.select("doc_id", "text").mapInArrow(lambda batches: made(slices(batches)), schema))
+    whole = plain.where("doc_id is not null").select("doc_id", "text").mapInArrow(read(True), schema)
+    return whole.unionByName(firsts.select("doc_id", "text").mapInArrow(read(False), schema))
 
 
 def anchor_rows(window: int, gram: int):
     """(a): the different anchors of each text."""
 
-    def run(batches):
-        for part in batches:
-            own = [np.unique(g[np.unique(anchors(g, window - gram + 1))]) for _, _, h in _hashed(part.column("text").to_pylist()) if len(h) >= window for g in [rolling(h, gram)]]
-            if own:
-                yield record({"a": pa.int64()}, [np.concatenate(own).view(np.int64)])
+    def run(parts):
+        for _, lines, sizes, _ in parts:
+            for _, text, own, *_ in passages(lines, sizes, window, gram):
+                order = np.lexsort((own, text))
+                own, text = own[order], text[order]
+                new = np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1]))
+                yield record({"a": pa.int64()}, [own[new].view(np.int64)])
 
     return run
 
@@ -253,31 +297,17 @@ SEGMENT = {"a": pa.int64(), "g": pa.binary(), "dk": pa.int64(), "begin": pa.int6
 
 def segment_rows(window: int, gram: int, marks: Marks, share: int, shares: int):
     """Segments of windows whose anchor passes the filter: (doc_id, *SEGMENT)."""
-    span = window - gram + 1
 
-    def run(batches):
-        for part in batches:
-            at, rows = [], []
-            for i, words, h in _hashed(part.column("text").to_pylist()):
-                if len(h) < window:
-                    continue
-                grams = rolling(h, gram)
-                place = anchors(grams, span)
-                own = grams[place]
+    def run(parts):
+        for ids, lines, sizes, dk in parts:
+            for line, text, own, at, n, begin, end in passages(lines, sizes, window, gram):
                 hold = marks.hits(own.view(np.int64))
                 if shares > 1:
                     hold &= own % np.uint64(shares) == share
-                held = np.flatnonzero(hold)
-                if not len(held):
-                    continue
-                cuts = np.flatnonzero((np.diff(held) > 1) | (np.diff(place[held]) != 0)) + 1
-                begins, ends = held[np.concatenate(([0], cuts))].tolist(), (held[np.concatenate((cuts - 1, [len(held) - 1]))] + window).tolist()
-                dk = int(_key([sha(words)])[0])
-                for b, e in zip(begins, ends):
-                    line = b" ".join(words[b:e])
-                    rows.append((int(own[b].astype(np.int64)), xxhash.xxh3_128_digest(line), dk, b, e - b, line))
-                    at.append(i)
-            yield record(SEGMENT, list(zip(*rows)) or [[]] * len(SEGMENT), {"doc_id": part.column("doc_id").take(pa.array(at, pa.int64()))})
+                text, own = text[hold], own[hold]
+                words = [line[b:e] for b, e in zip(begin[hold].tolist(), end[hold].tolist())]
+                made = [own.view(np.int64), [xxhash.xxh3_128_digest(x) for x in words], dk[text], at[hold], n[hold].astype(np.int32), words]
+                yield record(SEGMENT, made, {"doc_id": ids.take(pa.array(text, pa.int64()))})
 
     return run
 

@@ -138,3 +138,39 @@ def test_license_filters_are_cheap_and_lose_nothing(spark):
     assert got == told and 0 < len(got) < len(set(texts))
     plan = df.where(licenses.may_match(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_passages_are_those_of_each_text(monkeypatch):
+    """Words hash alike wherever they stand; passages of many texts at a time are the runs of one anchor of each text."""
+    import numpy as np
+
+    from freshet.llm import substring_dedup as op10
+
+    r = random.Random(21)
+    vocabulary = ["a", "b", "ab", "ba", "\u00e9", "\u3000x", "\U0001F600", "\x1c", "\x85", "w" * 700] + ["v%d" % k for k in range(60)]
+    texts = [" \n".join(r.choice(vocabulary[: r.choice([3, 70])]) for _ in range(n)) for n in [0, 0, 1, 12, 13, 14, 0, 20, 40, 90, 5, 300, 0] for _ in range(3)]
+    lists = [op10.split(x) for x in texts]
+    for block, size in ((50, 1), (1 << 18, 100), (1 << 18, 10_000)):
+        monkeypatch.setattr(op10, "BLOCK", block)
+        monkeypatch.setattr(op10, "SLICE", size)
+        told: dict[bytes, set] = {}
+        for words in filter(None, lists):
+            line = b" ".join(words)
+            begin, end, h = op10.word_hashes(line)
+            assert [line[b:e] for b, e in zip(begin, end)] == words
+            for w, x in zip(words, h.tolist()):
+                told.setdefault(w, set()).add(x)
+        assert all(len(x) == 1 for x in told.values()) and len(set.union(*told.values())) == len(told)
+        got = []
+        for line, text, own, at, n, begin, end in op10.passages([b" ".join(x) for x in lists], np.array([len(x) for x in lists]), 13, 6):
+            got += [(t, a, k, line[b:e].split()) for t, a, k, b, e, m in zip(text.tolist(), own.tolist(), at.tolist(), begin.tolist(), end.tolist(), n.tolist()) if len(line[b:e].split()) == m]
+        want = []
+        for i, words in enumerate(lists):
+            grams = [int(op10.rolling(np.array([min(told[w]) for w in words[k : k + 6]], np.uint64), 6)[0]) for k in range(len(words) - 5)]
+            places = [max(k for k in range(b, b + 8) if grams[k] == min(grams[b : b + 8])) for b in range(len(words) - 12)]
+            for b, p in enumerate(places):
+                if b and p == places[b - 1]:
+                    want[-1] = (*want[-1][:3], want[-1][3] + [words[b + 12]])
+                else:
+                    want.append((i, grams[p], b, words[b : b + 13]))
+        assert got == want and len(want) > 100
